@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsheet.llm import exact_dedup, mixing, repeats, secret_scan, url_filter, winnow
+from loomsheet.llm import exact_dedup, forest, mixing, pii, repeats, secret_scan, url_filter, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("spans", "key")
@@ -38,6 +42,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_read(spark, sf_dir, "documents")).drop("k1", "k2", "kept")
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
