@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsheet.llm import exact_dedup, forest, mixing, pii, repeats, secret_scan, toxicity, url_filter, winnow
+from loomsheet.llm import exact_dedup, forest, hmm, mixing, pii, repeats, secret_scan, toxicity, url_filter, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_texts(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
