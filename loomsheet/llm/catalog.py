@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsheet.llm import exact_dedup, forest, hmm, mixing, pii, repeats, secret_scan, toxicity, url_filter, winnow
+from loomsheet.llm import exact_dedup, forest, hmm, mixing, oracles, pii, repeats, secret_scan, toxicity, url_filter, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,6 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 _OP5 = f"""
 with parts as (
   select page_id, coalesce(url, '') as url from pages
@@ -69,7 +67,7 @@ with parts as (
   select page_id,
     case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as tail from parts
 ), named as (
-  select page_id, {_LOWER.format("regexp_extract(tail, '^[^/?#]*')")} as host,
+  select page_id, {oracles.LOWER.format("regexp_extract(tail, '^[^/?#]*')")} as host,
     regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) as path from cut
 ), rules(verdict, rhost, rpath) as (
   values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
@@ -84,7 +82,7 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit
 """
 
 _OP9 = f"""
-with t as (select doc_id, {_LOWER.format("coalesce(text, '')")} as x from documents)
+with t as (select doc_id, {oracles.LOWER.format("coalesce(text, '')")} as x from documents)
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id is not distinct from max(doc_id) over same as kept, sha256(x) as text_sha256
 from t window same as (partition by x)
@@ -92,4 +90,11 @@ from t window same as (partition by x)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": _OP5, "op9_exact_dedup": _OP9}
+    return {
+        "op3_repeats": oracles.REPEATS,
+        "op4_secret_scan": oracles.secrets(),
+        "op5_url_filter": _OP5,
+        "op7_winnow": oracles.WINNOW,
+        "op9_exact_dedup": _OP9,
+        "op10_jaccard_forest": oracles.JACCARD,
+    }
