@@ -65,3 +65,24 @@ def delta(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFr
     change = F.when(F.col("__a").isNull(), "set").when(F.col("__b").isNull(), "cleared").when(~same, "changed")
     columns = [c for v in values for c in (f"old_{v}", f"new_{v}")]
     return both.withColumn("change", change).where("change is not null").select(key, "change", *columns)
+
+
+def recalculated(old: DataFrame, inputs: DataFrame, changed: DataFrame, key: str, formula: Column, value: str) -> DataFrame:
+    """old(key, value) with the formula worked out anew for the changed keys only, from inputs; the others keep their value."""
+    anew = inputs.join(changed.select(key), key, "left_semi").select(key, formula.alias(value))
+    kept = old.select(key, value).join(changed.select(key), key, "left_anti")
+    return kept.unionByName(anew)
+
+
+def really_changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key): of what was worked out anew, the keys whose value is another than before; only they go on to dependents."""
+    before = old.select(key, F.col(value).alias("__before"))
+    return new.join(before, key).where(~F.col(value).eqNullSafe(F.col("__before"))).select(key)
+
+
+def moved(nodes: DataFrame, node: str, parent: str, order: int) -> DataFrame:
+    """nodes(node, parent, ord, ...) with one node under another parent; siblings after the place make room."""
+    own = F.col("node") == node
+    shift = (F.col("parent") == parent) & (F.col("ord") >= order) & ~own
+    place = F.when(own, F.lit(order)).when(shift, F.col("ord") + 1).otherwise(F.col("ord"))
+    return nodes.withColumns({"ord": place.cast("long"), "parent": F.when(own, F.lit(parent)).otherwise(F.col("parent"))})

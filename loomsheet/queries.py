@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from loomsheet.functions import cells as C
 from loomsheet.functions import scalar as S
 from loomsheet.functions import text as T
+from loomsheet.functions.volatile import rand
 from loomsheet.operators import aggregates, edits, lookups, spills, trees
 from loomsheet.plans import graph, ordered
-from loomsheet.sources.tables import sheet
+from loomsheet.sources.tables import shared_dir, sheet
+from loomsheet.sources.workbook import Workbook, unaccounted, with_cached
 from loomsheet.streaming import topics
 
 QUERIES: dict = {}
@@ -570,3 +574,141 @@ def error_codes(spark, folder):
 def date_serial(spark, folder):
     """Times as serial numbers of the 1900 system."""
     return sheet(spark, folder, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6) + 25569).alias("serial"))
+
+
+# workbooks, names, recalculation ---------------------------------------------------------------------------------------
+
+
+def _workbook(spark: SparkSession, folder: str) -> Workbook:
+    customers = sheet(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    suppliers = sheet(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    parts = sheet(spark, folder, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    book = Workbook({"Customers": customers, "Suppliers": suppliers, "Parts": parts})
+    book.define("Input", lambda b: b.sheet("customers").where("k < 100"))
+    book.define("Input", lambda b: b.sheet("suppliers").where("k < 50"), scope="Suppliers")
+    return book
+
+
+@_query("select 'Customers' as place, round(sum(c_acctbal),2) as v from customer where c_custkey<100 union all select 'Suppliers', round(sum(s_acctbal),2) from supplier where s_suppkey<50")
+def ref_defined_name(spark, folder):
+    """=SUM(Input) on two sheets: one has a name of its own, the other sees the workbook's."""
+    book = _workbook(spark, folder)
+    total = lambda place: book.resolve("INPUT", place).agg(F.lit(place).alias("place"), F.round(F.sum("v"), 2).alias("v"))
+    return total("Customers").unionByName(total("Suppliers"))
+
+
+@_query("select round(sum(v),2) as v, count(*) as n from (select s_acctbal v from supplier union all select p_retailprice from part)")
+def ref_workbook_span(spark, folder):
+    found = _workbook(spark, folder).span("Parts", "Suppliers", ["k", "v"])
+    return found.agg(F.round(F.sum("v"), 2).alias("v"), F.count("v").alias("n"))
+
+
+@_query("select c_custkey as k, c_acctbal as v, 'csv' as kind from customer union all select c_custkey, c_acctbal, 'json' from customer union all select c_custkey, c_acctbal, 'orc' from customer")
+def sink_formats(spark, folder):
+    """A sheet saved as CSV, JSON and ORC and read back."""
+    book = Workbook({"Customers": _workbook(spark, folder).sheet("Customers")})
+    found = None
+    for kind in ("csv", "json", "orc"):
+        place = f"{shared_dir(spark)}/workbook-{kind}-{uuid.uuid4().hex}"
+        book.save(place, kind)
+        back = Workbook.load(spark, place, {"Customers": "k long, v double"}, kind).sheet("Customers").withColumn("kind", F.lit(kind))
+        found = back if found is None else found.unionByName(back)
+    return found
+
+
+@_query("select event_type, count(*) as n from events where event_type not in ('click','view','purchase') group by 1")
+def source_unaccounted(spark, folder):
+    ledger = spark.range(1).select(F.explode(F.array(*map(F.lit, ("click", "view", "purchase")))).alias("event_type"))
+    return unaccounted(sheet(spark, folder, "events"), ledger, "event_type")
+
+
+@_query("select p_partkey, case when p_size%7=0 then p_retailprice else p_retailprice*2 end as v, cast(null as varchar) as e, case when p_size%7=0 then 'Degraded' else 'Calculated' end as provenance from part")
+def source_provenance(spark, folder):
+    rows = sheet(spark, folder, "part")
+    unread = F.col("p_size") % 7 == 0
+    made = rows.select("p_partkey", F.when(~unread, F.col("p_retailprice") * 2).alias("v"), F.when(unread, "#NAME?").alias("e"))
+    return with_cached(made, rows.select("p_partkey", F.col("p_retailprice").alias("v")), "p_partkey")
+
+
+@_query("select o_orderkey, case when o_custkey=7 then o_totalprice*3 else o_totalprice*2 end as v from orders")
+def recalc_dirty_rows(spark, folder):
+    """Inputs of a few rows change; only those rows are worked out anew, the rest keep their published values."""
+    rows = sheet(spark, folder, "orders")
+    old = rows.select("o_orderkey", (F.col("o_totalprice") * 2).alias("v"))
+    inputs = rows.withColumn("factor", F.when(F.col("o_custkey") == 7, 3).otherwise(2))
+    return edits.recalculated(old, inputs, rows.where("o_custkey = 7"), "o_orderkey", F.col("o_totalprice") * F.col("factor"), "v")
+
+
+@_query("select p_partkey from part where p_size%5=0 and p_size%2=1")
+def recalc_early_cutoff(spark, folder):
+    """Of the cells worked out anew only those with another value go on: INT(x/2) hides a rise of an even x by one."""
+    rows = sheet(spark, folder, "part")
+    old = rows.select("p_partkey", F.floor(F.col("p_size") / 2).alias("v"))
+    new = rows.where("p_size % 5 = 0").select("p_partkey", F.floor((F.col("p_size") + 1) / 2).alias("v"))
+    return edits.really_changed(old, new, "p_partkey", "v")
+
+
+@_query("select 'added' as change, c_custkey as source, c_nationkey+1 as target from customer where c_custkey%100=3 union all select 'removed', c_custkey, c_nationkey from customer where c_custkey%100=3")
+def delta_edges(spark, folder):
+    """Dependencies that a rebind added and removed."""
+    old = sheet(spark, folder, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("target"))
+    new = old.withColumn("target", F.col("target") + F.when(F.col("source") % 100 == 3, 1).otherwise(0))
+    added = new.exceptAll(old).select(F.lit("added").alias("change"), "source", "target")
+    return added.unionByName(old.exceptAll(new).select(F.lit("removed").alias("change"), "source", "target"))
+
+
+@_query("select 'n'||n_nationkey as node, case when n_nationkey=0 then 'r4' else 'r'||n_regionkey end as parent, (case when n_nationkey=0 then 10 when n_regionkey=4 and n_nationkey>=10 then n_nationkey+1 else n_nationkey end)::bigint as ord from nation")
+def edit_tree_move(spark, folder):
+    """Nation 0 moves under region 4, to place 10."""
+    nodes = _tree(spark, folder).where("node like 'n%'").select("node", "parent", "ord")
+    return edits.moved(nodes, "n0", "r4", 10)
+
+
+@_query("select 'n'||n_nationkey as node, round(sum(c_acctbal),2) as v from nation join customer on c_nationkey=n_nationkey where c_mktsegment='BUILDING' group by 1")
+def tree_selector_tail(spark, folder):
+    """=SUM(children.BUILDING): members of one name under each node; nodes without one drop out."""
+    names = sheet(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
+    tail = names.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), F.col("c_acctbal").alias("value"))
+    found = trees.children(_tree(spark, folder)).join(tail, "child")
+    return found.groupBy("node").agg(F.round(F.sum("value"), 2).alias("v"))
+
+
+@_query("select case when t=1 then 'low' when t=2 then 'mid' else 'high' end as icon, count(*) as n from (select case when c_acctbal < (select quantile_cont(c_acctbal,0.33) from customer) then 1 when c_acctbal < (select quantile_cont(c_acctbal,0.67) from customer) then 2 else 3 end as t from customer) group by 1")
+def format_icons(spark, folder):
+    """An icon set by percentiles of the column."""
+    rows = sheet(spark, folder, "customer")
+    cuts = rows.agg(F.percentile("c_acctbal", F.array(F.lit(0.33), F.lit(0.67))).alias("cuts"))
+    icon = F.when(F.col("c_acctbal") < F.col("cuts")[0], "low").when(F.col("c_acctbal") < F.col("cuts")[1], "mid").otherwise("high")
+    return rows.join(F.broadcast(cuts)).groupBy(icon.alias("icon")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select p_partkey, (c_acctbal-lo)/(hi-lo) as v from (select p_partkey, p_retailprice as c_acctbal, min(p_retailprice) over () lo, max(p_retailprice) over () hi from part)")
+def format_color_scale(spark, folder):
+    """The place of each number between the column's minimum and maximum."""
+    rows = sheet(spark, folder, "part")
+    ends = rows.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
+    place = (F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    return rows.join(F.broadcast(ends)).select("p_partkey", place.alias("v"))
+
+
+@_query("select sum(o_orderkey)::bigint as v, count(*) as n from orders where o_totalprice>200000")
+def spill_ref_sum(spark, folder):
+    """=SUM(A1#) over the spill of a FILTER."""
+    return spill_filter(spark, folder).agg(F.sum("o_orderkey").alias("v"), F.count("r").alias("n"))
+
+
+@_query("select o_orderkey, o_totalprice from orders where o_custkey%10=3")
+def spill_filter_columns(spark, folder):
+    """FILTER by a row of flags keeps columns, by a column of flags keeps rows."""
+    rows = sheet(spark, folder, "orders")
+    flags = {"o_orderkey": True, "o_custkey": False, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": False, "o_orderpriority": False}
+    return rows.where("o_custkey % 10 = 3").select(*(c for c in rows.columns if flags[c]))
+
+
+def fn_rand(spark, folder):
+    """RAND() of each customer's cell: the same number in every run and partitioning."""
+    rows = sheet(spark, folder, "customer")
+    return rows.select("c_custkey", rand(F.concat(F.lit("customer!"), F.col("c_custkey").cast("string")), 42).alias("v"))
+
+
+QUERIES["fn_rand"] = fn_rand

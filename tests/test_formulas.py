@@ -161,3 +161,41 @@ def test_trees_and_graphs(spark):
     cells = spark.createDataFrame([(1, 0.0, 0.0)], "node int, base double, value double")
     with pytest.raises(ValueError, match="no fixed point"):
         graph.jacobi(cells.withColumn("base", F.lit(1.0)), spark.createDataFrame([(1, 1, 1.0)], "source int, target int, weight double"), most=5)
+
+
+def test_random_streams_belong_to_cells(spark):
+    from loomsheet.functions.volatile import rand, uniform
+
+    def plain(key, seed, draw):
+        m = (1 << 64) - 1
+
+        def mix(x):
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+            return x ^ (x >> 31)
+
+        h = 0xCBF29CE484222325
+        for b in key.encode():
+            h = (h ^ b) * 0x100000001B3 & m
+        g = 0x9E3779B97F4A7C15
+        state = mix((seed + g) & m) ^ mix(h)
+        return (mix((state + g * (draw + 1)) & m) >> 11) / (1 << 53)
+
+    keys = ["", "A1", "S!R2C3", "é"]
+    assert list(uniform(keys, 9, 2)) == [plain(k, 9, 2) for k in keys]
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(200)], "k string")
+    runs = [{tuple(r) for r in rows.repartition(n).select("k", rand(F.col("k"), 1)).collect()} for n in (1, 5)]
+    assert runs[0] == runs[1]
+
+
+def test_workbook_names(spark):
+    from loomsheet.sources.workbook import Workbook
+
+    book = Workbook({"One": spark.range(3).toDF("v"), "Two": spark.range(5).toDF("v")})
+    book.define("n", lambda b: b.sheet("ONE"))
+    book.define("N", lambda b: b.sheet("two"), scope="Two")
+    assert (book.resolve("N").count(), book.resolve("n", "two").count(), book.resolve("n", "One").count()) == (3, 5, 3)
+    assert book.sheet("three") is None
+    with pytest.raises(KeyError):
+        book.resolve("other")
+    assert book.span("two", "one", ["v"]).count() == 8

