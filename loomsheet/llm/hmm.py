@@ -40,10 +40,10 @@ CLASS_SHARE = 1 << 13
 BUCKETS = 1 << 12
 SEGMENT = 256
 #: Texts longer than this are scored in parts of this length.
-PART = 2048
+PART = 1 << 15
 FOLDS, HELD_OUT = 5, 1
 #: Tokens that a scoring task gathers before it runs the recursion over them together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 END = b"\n"
 _SMOOTH = 0.5
 
@@ -283,16 +283,16 @@ def likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     short = np.flatnonzero(length <= PART)
     short = short[np.argsort(-length[short], kind="stable")]
     if len(short):
+        # step by step over all sequences at once, those that have ended drop out at the back
+        flat = np.concatenate([sequences[i] for i in short])
+        first = np.cumsum(length[short]) - length[short]
         steps = length[short[0]]
-        table = np.zeros((len(short), steps), np.int64)
-        for row, i in zip(table, short, strict=True):
-            row[: length[i]] = sequences[i]
         active = np.searchsorted(-length[short], -np.arange(steps), "left")
         a = np.repeat(model.first[None], len(short), 0)
         total = np.zeros(len(short))
         for t in range(steps):
             n = active[t]
-            b = (a[:n] @ model.move if t else a[:n]) * model.emit[table[:n, t]]
+            b = (a[:n] @ model.move if t else a[:n]) * model.emit[flat[first[:n] + t]]
             c = b.sum(1)
             total[:n] += np.log10(c)
             a[:n] = b / c[:, None]
