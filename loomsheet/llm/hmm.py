@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsheet.llm.store import stored
+from loomsheet.llm.store import map_texts, stored
 
 STATES = 8
 ROUNDS = 5
@@ -113,7 +113,7 @@ class Vocabulary:
 
 def count_words(train: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """Exact counts (word, c) of all words of the training texts, and what of them is held by the workers."""
-    counts = train.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counts = map_texts(train.select("text"), _count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = stored(counts, "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     held = counts.where((F.col("c") * WORD_SHARE >= total) & (F.col("word") != F.lit(END)))
@@ -391,7 +391,7 @@ def baum_welch(coded: DataFrame, v: Vocabulary, states: int = STATES, rounds: in
     share /= share.sum()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        sums = texts.mapInArrow(_tally(shared), _TALLY).groupBy("kind", "i")
+        sums = map_texts(texts, _tally(shared), _TALLY).groupBy("kind", "i")
         sums = sums.agg(*(F.sum(F.get("counts", F.lit(j))).alias(f"s{j}") for j in range(states)))
         # at most a row for each class and state: the tables' own size
         rows = sums.toPandas()
@@ -435,7 +435,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")
     )
     counts, v = count_words(texts.where("not held_out"))
-    coded = stored(texts.mapInArrow(_encode(spark.sparkContext.broadcast(v)), _CODED_SQL), "class-sequences")
+    coded = stored(map_texts(texts, _encode(spark.sparkContext.broadcast(v)), _CODED_SQL), "class-sequences")
     model, _ = baum_welch(coded, v, states, rounds)
     # rare words: their counts by a join, summed by text; what no training text holds counts 0
     asked = coded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r"))
@@ -447,7 +447,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     rare = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     spread += ", rare_tokens long"
     columns = coded.select(*(f.split()[0] for f in spread.split(", ") if "hidden" not in f and "rare" not in f), "classes", rare.alias("rare_tokens"))
-    scored = columns.mapInArrow(_forward(spark.sparkContext.broadcast(model)), spread)
+    scored = map_texts(columns, _forward(spark.sparkContext.broadcast(model)), spread)
     rows = scored.join(found, "key", "left")
     seen, seen_logs = F.coalesce("seen", F.lit(0)), F.coalesce("seen_logs", F.lit(0.0))
     unseen = (F.col("rare_tokens") - seen) * float(np.log10(_SMOOTH))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomsheet.llm.store import map_texts
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -204,4 +206,4 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_scan, _FIELDS)
+    return map_texts(texts, _scan, _FIELDS)

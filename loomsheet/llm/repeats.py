@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomsheet.llm import text as T
-from loomsheet.llm.store import stored
+from loomsheet.llm.store import map_texts, stored
 
 LENGTH = 400
 Q = 128
@@ -231,7 +231,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     """(k1, k2, lo, hi): bytes covered by strings of ``length`` bytes that start more than once, possibly overlapping."""
     piece = max(1, min(piece, length // 4))
     long_texts = texts.where(F.octet_length("text") >= length).select("text", "k1", "k2")
-    found = stored(long_texts.mapInArrow(_scan(length, q), _ANCHOR), "anchors")
+    found = stored(map_texts(long_texts, _scan(length, q), _ANCHOR), "anchors")
     live = found.groupBy("bucket").count().where("count > 1").select("bucket")
     members = stored(found.join(live, "bucket"), "anchors-met")
     place = F.struct("k1", "k2", "p", "lo", "hi")
@@ -243,9 +243,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     several = classes.groupBy("bucket").count().where("count > 1").select("bucket")
     reps = classes.join(several, "bucket").select("bucket", "n", "one.*")
     reps = reps.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "n", "p", "lo", "hi")).alias("reps"))
-    cut = long_texts.join(reps, ["k1", "k2"]).mapInArrow(_cut(length), f"{_REP}, bytes binary")
+    cut = map_texts(long_texts.join(reps, ["k1", "k2"]), _cut(length), f"{_REP}, bytes binary")
     cut = stored(cut, "anchor-bytes")
-    pieces = stored(cut.mapInArrow(_pieces(length, piece), _PIECE), "anchor-pieces")
+    pieces = stored(map_texts(cut, _pieces(length, piece), _PIECE), "anchor-pieces")
     cores = pieces.groupBy("core").agg(F.sum("n").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     wholes = pieces.groupBy("whole").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     by_piece = wholes.where("n > 1 and least = 1").select("whole")
@@ -254,7 +254,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     unlike = cores.where("n > 1 and a != b").select("core")
     left = pieces.join(unlike, "core").groupBy("k1", "k2", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
     left = cut.join(left, ["k1", "k2", "p"]).select("n", "k1", "k2", "lo", "bytes", "open")
-    strings = stored(left.mapInArrow(_strings(length), _STRING), "open-strings")
+    strings = stored(map_texts(left, _strings(length), _STRING), "open-strings")
     again = strings.groupBy("string").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
     single = strings.where("n = 1").join(again.select("string"), "string")
     single = single.select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
@@ -269,4 +269,4 @@ def remove_repeats(
     spans = repeated_spans(texts, length, q, piece)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(_removal(with_text), _RESULT + ", kept binary" * with_text)
+    return map_texts(rows, _removal(with_text), _RESULT + ", kept binary" * with_text)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -25,3 +29,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a batch that a Python worker gets: texts are some KB each, and some are very long.
+BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """df.mapInArrow for texts: batches of at most BATCH_ROWS rows (unless the session asks for fewer), and memory that a task
+    no longer uses given back to the system, since workers are kept for later tasks."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCHES)) > BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return df.mapInArrow(lean, schema)

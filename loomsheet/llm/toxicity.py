@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomsheet.llm.store import stored
+from loomsheet.llm.store import map_texts, stored
 
 SPAN = 5
 DECAY = 0.7
@@ -44,7 +44,7 @@ MINED = 2
 #: Units longer than this are scored in pieces that overlap by half.
 LONGEST = 24
 #: Scores of units that a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 
 _CODES = np.zeros(256, np.int64)
 _CODES[97:123] = np.arange(1, 27)
@@ -225,28 +225,35 @@ def _unit_margins(model):
     return made
 
 
-def _text_margins(model):
-    """The margin of each text, from units scored once a worker."""
+def _scorer(m: Model):
+    """Margins of texts, from units that are scored once and kept."""
+    cache: dict[bytes, float] = {}
+
+    def score(texts: pa.Array) -> np.ndarray:
+        texts = texts.cast(pa.large_binary())
+        out = np.empty(len(texts))
+        for i in range(0, len(texts), 128):
+            own = [set(units(t or b"")) for t in texts[i : i + 128].to_pylist()]
+            if len(cache) > CACHE:
+                cache.clear()
+            new = list({u for s in own for u in s if u not in cache})
+            for j in range(0, len(new), 10_000):
+                part = new[j : j + 10_000]
+                cache.update(zip(part, m.margins(part).tolist(), strict=True))
+            for j, s in enumerate(own):
+                out[i + j] = max(map(cache.__getitem__, s), default=m.least)
+        return out
+
+    return score
 
+
+def _text_margins(model):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        cache: dict[bytes, float] = {}
+        score = _scorer(model.value)
         for batch in batches:
-            texts = batch["text"].cast(pa.large_binary())
-            out = np.empty(len(texts))
-            for i in range(0, len(texts), 256):
-                own = [set(units(t)) for t in texts[i : i + 256].to_pylist()]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({u for s in own for u in s if u not in cache})
-                for j in range(0, len(new), 20_000):
-                    part = new[j : j + 20_000]
-                    cache.update(zip(part, m.margins(part).tolist(), strict=True))
-                for j, s in enumerate(own):
-                    out[i + j] = max(map(cache.__getitem__, s), default=m.least)
-            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*names, "margin"])
+            columns = [batch[n] for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score(batch["text"]))], names=[*names, "margin"])
 
     return made
 
@@ -268,7 +275,7 @@ def train(
     """The model from the labelled texts that are not held out; docs has doc_id and text, labels doc_id and toxic."""
     spark = docs.sparkSession
     sample = _sample(docs, labels, most_toxic, most_clean)
-    rows = sample.mapInArrow(_labelled_units, "unit binary, sentence long, toxic int")
+    rows = map_texts(sample, _labelled_units, "unit binary, sentence long, toxic int")
     # a sentence that several texts share counts once
     rows = rows.groupBy("unit", "sentence").agg(F.min("toxic").alias("toxic"))
     counts = rows.groupBy("unit").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
@@ -295,11 +302,11 @@ def train(
     for _ in range(MINED):
         # clean units that the model so far takes for toxic ones
         shared = spark.sparkContext.broadcast(model)
-        hard = clean.select("unit").mapInArrow(_unit_margins(shared), "unit binary, margin double")
+        hard = map_texts(clean.select("unit"), _unit_margins(shared), "unit binary, margin double")
         hard = hard.where("margin > -1").orderBy(F.desc("margin"), "unit").limit(MOST_UNITS).select("unit").collect()
         good = [u for u in dict.fromkeys(good + [bytes(r["unit"]) for r in hard]) if u not in worst]
         model = fit_units(bad, good)
-    margins = sample.mapInArrow(_text_margins(spark.sparkContext.broadcast(model)), "toxic int, margin double").toPandas()
+    margins = map_texts(sample, _text_margins(spark.sparkContext.broadcast(model)), "toxic int, margin double").toPandas()
     slope, level = _curve(margins["margin"].to_numpy(), margins["toxic"].to_numpy())
     return Model(model.weights, model.offset, slope, level)
 
@@ -308,7 +315,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.mapInArrow(_text_margins(shared), "doc_id long, margin double")
+    rows = map_texts(rows, _text_margins(shared), "doc_id long, margin double")
     score = 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.level)))
     return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
@@ -319,12 +326,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the texts that are predicted toxic, all columns kept, in one pass over the texts."""
     model = train(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    margins = _text_margins(shared)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
         for batch in batches:
-            text = batch["text"].fill_null("")
-            margin = next(margins(iter([pa.RecordBatch.from_arrays([text], names=["text"])])))["margin"].to_numpy()
-            yield batch.filter(pa.array(shared.value.score(margin) < THRESHOLD))
+            yield batch.filter(pa.array(shared.value.score(score(batch["text"])) < THRESHOLD))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_texts(docs, kept, docs.schema)

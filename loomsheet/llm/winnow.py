@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsheet.llm import text as T
-from loomsheet.llm.store import stored
+from loomsheet.llm.store import map_texts, stored
 
 K = 5
 GUARANTEE = 10
@@ -196,7 +196,7 @@ def find_contaminated(
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
     )
-    items = stored(items.mapInArrow(_item_runs(k, guarantee), "item string, length int, run long, print long"), "item-runs")
+    items = stored(map_texts(items, _item_runs(k, guarantee), "item string, length int, run long, print long"), "item-runs")
     prints = items.where("print is not null").select("print").distinct()
     short = [r[0] for r in items.where(f"length < {guarantee}").select("length").distinct().collect()]
     bits = spark.sparkContext.broadcast(_bit_map(prints))
@@ -211,7 +211,7 @@ def find_contaminated(
 
     texts = docs.select(F.col(id_column).cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "key long, row long, n_words long, prints array<long>, lengths array<int>, starts array<int>, runs array<long>"
-    found = stored(texts.mapInArrow(_doc_prints(bits, sorted(short), k, guarantee), schema), "doc-prints")
+    found = stored(map_texts(texts, _doc_prints(bits, sorted(short), k, guarantee), schema), "doc-prints")
     around = guarantee - k + 1
     hits = (
         found.where(F.size("prints") > 0)
