@@ -232,7 +232,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     piece = max(1, min(piece, length // 4))
     long_texts = texts.where(F.octet_length("text") >= length).select("text", "k1", "k2")
     found = stored(map_texts(long_texts, _scan(length, q), _ANCHOR), "anchors")
-    live = found.groupBy("bucket").count().where("count > 1").select("bucket")
+    # stored, so that both sides of the join are dealt for it alone and a bucket that many texts share can be split
+    live = stored(found.groupBy("bucket").count().where("count > 1").select("bucket"), "anchors-live")
     members = stored(found.join(live, "bucket"), "anchors-met")
     place = F.struct("k1", "k2", "p", "lo", "hi")
     classes = members.groupBy("bucket", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
