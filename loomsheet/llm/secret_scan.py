@@ -118,9 +118,10 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, key) of the asked trigrams, without regard to case; one row a document and trigram."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return stored(docs.select(_key().alias("key"), F.explode(held).alias("trigram")).distinct(), "trigram-postings")
+    # lower-cased once, before the list of trigrams is made
+    low = docs.select(_key().alias("key"), F.lower("text").alias("low"))
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+    return stored(low.select("key", F.explode(held).alias("trigram")).distinct(), "trigram-postings")
 
 
 def _key() -> Column:
