@@ -258,6 +258,23 @@ def test_forest_holds_a_large_group_together(spark):
     assert got[0] == 1 and got[1] >= 2
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_forest_counts_all_links_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK", block)
+    base = prose(5, 200).split()
+    texts = [" ".join([*base[: i % 190], f"w{i}", *base[i % 190 + 1 :]]) for i in range(150)]
+    # many share a passage of two thirds, and some of them are near copies of each other
+    shared = prose(6, 120).split()
+    for g in range(20):
+        own = prose(100 + g, 60).split()
+        texts += [" ".join(shared + own + [f"x{g}"] * k) for k in range(3)]
+    texts += texts[:5]
+    got = {r.doc_id: r for r in forest.near_duplicates(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    n, group = links_by_force(texts)
+    assert [got[i].n_links for i in range(len(texts))] == n
+    assert [got[i].class_id for i in range(len(texts))] == group
+
+
 def test_shortest_prefix():
     d = forest.shortest_prefix()
     assert 1 - (1 - forest.SIMILARITY**d) ** forest.TREES >= forest.RECALL
