@@ -101,17 +101,22 @@ _ONE = "|".join(DIGITS)
 _AT, _DOT = "at|arroba|chez", "dot|punto|punkt|point"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 
+_SAT = rf" (?:{_AT}) (?=[a-z0-9-]+(?:(?: (?:{_DOT}) |\.)[a-z0-9-]+)*(?: (?:{_DOT}) |\.)[a-z])"
+_SDOT = rf" (?<=[a-z0-9] )(?:{_DOT}) (?=[a-z])"
+_PLUS = rf"\bplus[ -]+(?=(?:{_ONE})\b)"
 _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
-_WORDED = re.compile(rf"\b(?:{_ONE})(?:[ -]+(?:{_ONE})\b){{2,}}", re.I)
+# the branches of the transducer but for spaces around brackets; a digit word counts beside a digit or another digit word only,
+# as no identifier has a digit that stands alone
 _ENCLOSED = re.compile(rf"{_OPEN} *(?:{_AT}|{_DOT}|@|\.) *{_SHUT}", re.I)
-_SPELLED = re.compile(rf" (?:{_AT}) [a-z0-9-]+ (?:{_DOT}) [a-z]", re.I)
+_SPELLED = re.compile(rf"{_SAT}|{_SDOT}", re.I)
+_WORDED = re.compile(rf"\b(?:{_ONE})\b[ ().-]*(?:[0-9]|(?:{_ONE})\b)|[0-9][ ().-]+(?:{_ONE})\b|{_PLUS}", re.I)
 _REWRITE = re.compile(
     rf"(?P<glyph>[{''.join(map(re.escape, GLYPHS))}])"
     rf"|(?P<at> *{_OPEN} *(?:{_AT}|@) *{_SHUT} *)"
     rf"|(?P<dot> *{_OPEN} *(?:{_DOT}|\.) *{_SHUT} *)"
-    rf"|(?P<sat> (?:{_AT}) (?=[a-z0-9-]+(?: (?:{_DOT}) |\.)[a-z]))"
-    rf"|(?P<sdot>(?<=[a-z0-9]) (?:{_DOT}) (?=[a-z]))"
-    rf"|(?P<plus>\bplus[ -]+(?=(?:{_ONE})\b))"
+    rf"|(?P<sat>{_SAT})"
+    rf"|(?P<sdot>{_SDOT})"
+    rf"|(?P<plus>{_PLUS})"
     rf"|\b(?P<digit>{_ONE})\b",
     re.I,
 )
@@ -148,7 +153,7 @@ def rewrite(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def disguised(text: str) -> bool:
-    """Whether the text shows a sign of a disguise."""
+    """Whether the text shows a sign of a disguise; rewriting other texts adds nothing."""
     return bool(
         (not text.isascii() and _GLYPH.search(text))
         or _ENCLOSED.search(text)

@@ -98,6 +98,32 @@ def test_disguises(text, kind, found):
     assert not any(a < d and c < b for k in pii.KINDS for a, b in spans[k] for c, d in base[k])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("write to jane at example.com", "jane at example.com"),
+        ("mail jane@example dot com", "jane@example dot com"),
+        ("mail jane at mail.example dot org", "jane at mail.example dot org"),
+        ("mail jane at mail.3com.example dot org", "jane at mail.3com.example dot org"),
+        ("mail jane at 1.3com dot org", "jane at 1.3com dot org"),
+    ],
+)
+def test_every_disguise_is_rewritten(text, found):
+    spans = pii.added(text, pii.plain(text))["email"]
+    assert [text[a:b] for a, b in spans] == [found]
+
+
+def test_the_gate_changes_no_result(monkeypatch):
+    rng = np.random.default_rng(8)
+    pieces = ["jane", "x.org", "com", " at ", " dot ", " point ", "@", ".", " ", " ", "-", "+", "plus ", "1", "4111 1111", "192.168.", "one", "two", "four ", "nine", "[at]", "(.)", "555", "(", ")", "3com", "а", "\n"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 14))) for _ in range(6000)]
+    texts += ["192.168.one.1", "+1 (202) 555 01 four two", "4111 1111 1111 111 one", "192.168.0 dot one"]
+    got = [pii.added(t, pii.plain(t)) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    for t, spans in zip(texts, got, strict=True):
+        assert pii.added(t, pii.plain(t)) == spans, t
+
+
 def test_personal_data(spark, odd_docs, no_docs):
     docs = odd_docs.unionByName(frame(spark, [(50, "😀 a@b.co", "s")]))
     got = pii.find_personal_data(docs).collect()
