@@ -278,6 +278,13 @@ def agg_product(spark, folder):
     return rows.agg(F.round(F.product(1 + (F.col("o_custkey") % 2) * F.lit(1e-4)), 8).alias("v"))
 
 
+@_query("select o_orderpriority, round(product(case when o_orderkey%2=0 then 1.0001::double else 1/1.0001::double end),6) as v from orders group by 1")
+def agg_product_all(spark, folder):
+    """Over all orders: even keys multiply by what odd ones divide by, so that the product stays near 1 at every size."""
+    factor = F.when(F.col("o_orderkey") % 2 == 0, F.lit(1.0001)).otherwise(1 / F.lit(1.0001))
+    return sheet(spark, folder, "orders").groupBy("o_orderpriority").agg(F.round(F.product(factor), 6).alias("v"))
+
+
 def _subtotal(code: int, sql: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         rows = sheet(spark, folder, "orders")
@@ -528,6 +535,14 @@ def dependency_jacobi(spark, folder):
     return graph.jacobi(cells, links, change=1e-4).select("node", F.round("value", 2).alias("value"))
 
 
+@_query("select s_suppkey as node, round(2.0*s_suppkey,2) as value from supplier")
+def dependency_jacobi_all(spark, folder):
+    """The same over all suppliers."""
+    cells = sheet(spark, folder, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").cast("double").alias("base"), F.lit(0.0).alias("value"))
+    links = cells.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0.5).alias("weight"))
+    return graph.jacobi(cells, links, change=1e-4).select("node", F.round("value", 2).alias("value"))
+
+
 # streams ---------------------------------------------------------------------------------------------------------------
 
 
@@ -597,6 +612,16 @@ def ref_defined_name(spark, folder):
     return total("Customers").unionByName(total("Suppliers"))
 
 
+@_query("select 'Customers' as place, round(sum(c_acctbal),2) as v from customer union all select 'Suppliers', round(sum(s_acctbal),2) from supplier")
+def ref_defined_name_all(spark, folder):
+    """The same where the names are whole sheets."""
+    book = _workbook(spark, folder)
+    book.define("Column", lambda b: b.sheet("customers"))
+    book.define("Column", lambda b: b.sheet("suppliers"), scope="Suppliers")
+    total = lambda place: book.resolve("COLUMN", place).agg(F.lit(place).alias("place"), F.round(F.sum("v"), 2).alias("v"))
+    return total("Customers").unionByName(total("Suppliers"))
+
+
 @_query("select round(sum(v),2) as v, count(*) as n from (select s_acctbal v from supplier union all select p_retailprice from part)")
 def ref_workbook_span(spark, folder):
     found = _workbook(spark, folder).span("Parts", "Suppliers", ["k", "v"])
@@ -664,6 +689,13 @@ def edit_tree_move(spark, folder):
     return edits.moved(nodes, "n0", "r4", 10)
 
 
+@_query("select 'c'||c_custkey as node, case when c_custkey=7 then 'n4' else 'n'||c_nationkey end as parent, (case when c_custkey=7 then 10 when c_nationkey=4 and c_custkey>=10 then c_custkey+1 else c_custkey end)::bigint as ord from customer")
+def edit_tree_move_all(spark, folder):
+    """Among all customers, customer 7 moves under nation 4, to place 10."""
+    nodes = _tree(spark, folder).where("node like 'c%'").select("node", "parent", "ord")
+    return edits.moved(nodes, "c7", "n4", 10)
+
+
 @_query("select 'n'||n_nationkey as node, round(sum(c_acctbal),2) as v from nation join customer on c_nationkey=n_nationkey where c_mktsegment='BUILDING' group by 1")
 def tree_selector_tail(spark, folder):
     """=SUM(children.BUILDING): members of one name under each node; nodes without one drop out."""

@@ -43,3 +43,10 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert sorted(set(queries.QUERIES) - {"fn_rand"}) == sorted(queries.ORACLES)
+
+
+def test_queries_over_whole_tables(spark, duck):
+    count = lambda table: duck.execute(f"select count(*) from {table}").fetchone()[0]
+    assert queries.QUERIES["dependency_jacobi_all"](spark, FOLDER).count() == count("supplier")
+    assert queries.QUERIES["edit_tree_move_all"](spark, FOLDER).count() == count("customer")
+    assert queries.QUERIES["agg_product_all"](spark, FOLDER).count() == count("(select distinct o_orderpriority from orders)")
