@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomsheet.plans import ordered
 from loomsheet.sources.tables import stored
 
 #: Steps down a tree before a cycle is suspected.
@@ -18,14 +18,14 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def preceding(nodes: DataFrame, value: str, name: str = "v") -> DataFrame:
-    """(node, v): the sum of value over the siblings before each node."""
-    w = W.partitionBy("parent").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    return nodes.select("node", F.coalesce(F.sum(value).over(w), F.lit(0.0)).alias(name))
+    """(node, v): the sum of value over the siblings before each node, in blocks: a parent of many children is not one task."""
+    placed = ordered.in_blocks(nodes.select("node", "parent", "ord", F.col(value).alias("__x")), "parent", "ord")
+    rows = ordered.scan(placed, ["ord"], name, F.sum, F.col("__x"), ["parent"], before=True)
+    return rows.select("node", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def following(nodes: DataFrame, value: str, name: str = "v") -> DataFrame:
-    w = W.partitionBy("parent").orderBy("ord").rowsBetween(1, W.unboundedFollowing)
-    return nodes.select("node", F.coalesce(F.sum(value).over(w), F.lit(0.0)).alias(name))
+    return preceding(nodes.withColumn("ord", -F.col("ord")), value, name)
 
 
 def ancestors(nodes: DataFrame, starts: DataFrame) -> DataFrame:

@@ -348,10 +348,11 @@ def recur_fill_down(spark, folder):
 @_query("with b as (select o_orderkey k, 1.0::double c1, row_number() over (order by o_orderkey) r from orders), x as (select *, 1 + sum(case when r>1 then c1 else 0 end) over (order by r) c2 from b) select k as o_orderkey, c2, 1 + sum(case when r>1 then c2 else 0 end) over (order by r) as c3 from x")
 def recur_pascal(spark, folder):
     """=RC[-1]+R[-1]C with seeds of 1 in the first row and column: each column is a running sum of the one before."""
-    rows = _orders(spark, folder).withColumn("c1", F.lit(1.0))
+    rows = ordered.in_blocks(sheet(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+    rows = ordered.numbered(rows, "o_orderkey").withColumn("c1", F.lit(1.0))
     for k in (2, 3):
         step = F.when(F.col("row") > 1, F.col(f"c{k - 1}")).otherwise(0.0)
-        rows = ordered.running_sum(rows, "o_orderkey", step, f"c{k}").withColumn(f"c{k}", F.col(f"c{k}") + 1)
+        rows = ordered.scan(rows, ["o_orderkey"], f"c{k}", F.sum, step).withColumn(f"c{k}", F.col(f"c{k}") + 1)
     return rows.select("o_orderkey", "c2", "c3")
 
 
@@ -360,7 +361,7 @@ def recur_pascal(spark, folder):
 
 @_query(f"select * from (select {_ROW} as r, o_orderkey, o_totalprice*2 as v from orders) where r between 101 and 740")
 def view_tile(spark, folder):
-    rows = _orders(spark, folder).where("row between 101 and 740")
+    rows = ordered.rows_at(sheet(spark, folder, "orders"), "o_orderkey", first=101, last=740)
     return rows.select(F.col("row").alias("r"), "o_orderkey", (F.col("o_totalprice") * 2).alias("v"))
 
 
@@ -385,7 +386,7 @@ def format_rank_average(spark, folder):
 def spill_filter(spark, folder):
     """FILTER: the kept rows, numbered anew from the anchor."""
     kept = sheet(spark, folder, "orders").where("o_totalprice > 200000")
-    return ordered.addressed(kept, "o_orderkey", "r").select("r", "o_orderkey", "o_totalprice")
+    return ordered.addressed(kept, "o_orderkey", name="r").select("r", "o_orderkey", "o_totalprice")
 
 
 @_query("select range::double as v from range(1, (select count(*)+1 from orders))")
@@ -709,9 +710,9 @@ def tree_selector_tail(spark, folder):
 def format_icons(spark, folder):
     """An icon set by percentiles of the column."""
     rows = sheet(spark, folder, "customer")
-    cuts = rows.agg(F.percentile("c_acctbal", F.array(F.lit(0.33), F.lit(0.67))).alias("cuts"))
-    icon = F.when(F.col("c_acctbal") < F.col("cuts")[0], "low").when(F.col("c_acctbal") < F.col("cuts")[1], "mid").otherwise("high")
-    return rows.join(F.broadcast(cuts)).groupBy(icon.alias("icon")).agg(F.count(F.lit(1)).alias("n"))
+    low, high = ordered.quantiles(rows, "c_acctbal", [0.33, 0.67])
+    icon = F.when(F.col("c_acctbal") < low, "low").when(F.col("c_acctbal") < high, "mid").otherwise("high")
+    return rows.groupBy(icon.alias("icon")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("select p_partkey, (c_acctbal-lo)/(hi-lo) as v from (select p_partkey, p_retailprice as c_acctbal, min(p_retailprice) over () lo, max(p_retailprice) over () hi from part)")

@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomsheet.plans import ordered
+
 ORDER = ("ordering_key", "topic_id", "topic_sequence", "dedupe_identity", "payload_ref")
 
 
@@ -23,9 +25,10 @@ def accepted(updates: DataFrame) -> DataFrame:
     key = F.struct(*ORDER)
     first = W.partitionBy("dedupe_identity").orderBy(key)
     fresh = updates.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    before = W.partitionBy("topic_id").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    late = F.coalesce(F.col("topic_sequence") < F.max("topic_sequence").over(before), F.lit(False))
-    return fresh.withColumn("__late", late).where("not __late").drop("__late")
+    # a busy topic is cut into blocks along its order, so that it is not one task
+    placed = ordered.in_blocks(fresh, "topic_id", *ORDER)
+    rows = ordered.scan(placed, ORDER, "__top", F.max, F.col("topic_sequence"), ["topic_id"], before=True)
+    return rows.where(F.col("__top").isNull() | (F.col("topic_sequence") >= F.col("__top"))).select(updates.columns)
 
 
 def current(updates: DataFrame) -> DataFrame:
