@@ -1,35 +1,17 @@
-"""Lineage cuts: tables written to the folder that all executors share."""
+"""Lineage cuts in the shared folder, and Arrow maps over texts."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one is set where none is named (tests, local mode)."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-loomsheet-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: the lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomsheet.sources.tables import CHECKPOINT_DIR, shared_dir, stored
 
+__all__ = ["CHECKPOINT_DIR", "map_texts", "shared_dir", "stored"]
 
 #: Rows of a batch that a Python worker gets: texts are some KB each, and some are very long.
 BATCH_ROWS = 1_000

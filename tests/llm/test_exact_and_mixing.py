@@ -3,7 +3,9 @@
 import hashlib
 import string
 from collections import Counter, defaultdict
+from math import exp, lgamma
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomsheet.llm import exact_dedup, mixing, url_filter
@@ -91,24 +93,63 @@ def test_mix(spark, odd_docs, no_docs):
     assert mix.select("doc_id", "mix_copy").distinct().count() == mix.count()
 
 
-def test_splitting_tree_keeps_quotas(spark):
-    quotas = spark.createDataFrame([(0, 40), (1, 7), (2, 0), (3, 100_000)], "sid int, quota long")
-    parts = mixing.split_quotas(quotas, 8, seed=3)
-    assert {r.sid: r.q for r in parts.groupBy("sid").agg(F.sum("quota").alias("q")).collect()} == {0: 40, 1: 7, 2: 0, 3: 100_000}
-    by_shard = [r.q for r in parts.groupBy("shard").agg(F.sum("quota").alias("q")).collect()]
-    assert max(by_shard) - min(by_shard) <= 3 and parts.where("quota < 0").count() == 0
-    assert parts.count() == 32
-
-
-def test_hypergeometric_is_exact(spark):
-    n = 20_000
-    rows = spark.range(n).select(mixing.hypergeometric(F.lit(4).cast("long"), F.lit(10).cast("long"), F.lit(5).cast("long"), F.col("id")).alias("x"))
-    seen = Counter(r.x for r in rows.collect())
-    from math import comb
-
-    for x in range(5):
-        p = comb(4, x) * comb(6, 5 - x) / comb(10, 5)
-        assert abs(seen[x] / n - p) < 5 * (p * (1 - p) / n) ** 0.5
+@pytest.mark.parametrize("fan", [64, 2])
+def test_splitting_tree_keeps_quotas(spark, fan):
+    quotas = {0: 40, 1: 7, 2: 0, 3: 100_000, 4: 1}
+    rows = spark.createDataFrame(list(quotas.items()), "sid long, quota long")
+    parts = mixing.split_quotas(rows, 8, seed=3, fan=fan).collect()
+    by_shard, runs = Counter(), {s: [] for s in quotas}
+    for r in parts:
+        by_shard[r.shard] += r.quota
+        runs[r.sid].append((r.start, r.start + r.quota))
+    assert set(by_shard) == set(range(8)) and max(by_shard.values()) - min(by_shard.values()) <= 3
+    for s, own in runs.items():
+        # the shards' runs are disjoint and leave nothing out
+        ends = [0, *(x for run in sorted(own) for x in run), quotas[s]]
+        assert ends[::2] == ends[1::2]
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    many = frame(spark, [(i, prose(i, 20), "ab"[i % 2]) for i in range(200)])
+    before = {r.doc_id: (r.taken, r.n_shards) for r in mixing.mix_report(many, block_words=100, shards=8).collect()}
+    shards = {r.doc_id: r.shards for r in mixing.mix_documents(many, block_words=100, shards=8).groupBy("doc_id").agg(F.collect_set("mix_shard").alias("shards")).collect()}
+    assert {k: n for k, (_, n) in before.items() if n} == {k: len(v) for k, v in shards.items()}
+    one = lambda q, *_: q.select("sid", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("quota"))
+    monkeypatch.setattr(mixing, "split_quotas", one)
+    assert {r.doc_id: (r.taken, r.n_shards) for r in mixing.mix_report(many, block_words=100, shards=8).collect()} != before
+
+
+@pytest.mark.parametrize("units, total, drawn", [(4, 10, 5), (0, 9, 3), (9, 9, 3), (900, 60_000, 30_000), (20_000, 70_000, 35_000)])
+def test_hypergeometric_is_exact(spark, units, total, drawn):
+    """Narrow and wide draws against the distribution itself, by its deciles."""
+    n = 6_000
+    whole = lambda x: F.lit(x).cast("long")
+    draws = spark.range(n).select(mixing.hypergeometric(whole(units), whole(total), whole(drawn), F.col("id")).alias("x"))
+    seen = Counter(r.x for r in draws.collect())
+    lowest, highest = max(0, drawn - (total - units)), min(units, drawn)
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    p = [exp(choose(units, x) + choose(total - units, drawn - x) - choose(total, drawn)) for x in range(lowest, highest + 1)]
+    assert lowest <= min(seen) and max(seen) <= highest
+    done, start, cuts = 0.0, lowest, []
+    for x, q in enumerate(p, lowest):
+        done += q
+        if done >= 0.1 or x == highest:
+            cuts.append((start, x, done))
+            done, start = 0.0, x + 1
+    for lo, hi, q in cuts:
+        assert abs(sum(seen[x] for x in range(lo, hi + 1)) / n - q) <= 5 * (q * abs(1 - q) / n) ** 0.5 + 1e-9
+
+
+def test_more_sources_than_one_draw_takes(spark):
+    many = frame(spark, [(i, prose(i, 8), f"s{i % 150}") for i in range(900)])
+    sizes = Counter()
+    for r in many.collect():
+        sizes[r.source] += len(r.text.split())
+    taken, names, want = Counter(), {r.doc_id: r.source for r in many.collect()}, targets(sizes)
+    for r in mixing.mix_report(many, block_words=20, shards=4).collect():
+        taken[names[r.doc_id]] += r.taken
+        assert abs(r.target - want[names[r.doc_id]]) < 1e-6
+    assert all(abs(taken[s] - t) <= 8 for s, t in want.items())
 
 
 def test_urls(spark):
