@@ -6,9 +6,9 @@ smoothed share of the bucket's training counts, unseen words included. So the st
 vocabulary, while word counts are exact over all training texts.
 
 Training is Baum-Welch: each round every training text adds its expected transitions and emissions; they are summed by task,
-then across partitions, and give the next tables. Training texts are cut into SEGMENT tokens, each starting anew. Scoring
-runs the scaled forward recursion over the whole text and is exact; long texts go through it in parts whose transfer
-matrices are then multiplied.
+then across partitions, and give the next tables. Training and scoring run over whole texts. Training keeps forward vectors at some
+steps only and works the others out again on its way back, so memory does not follow a text's length; in scoring, very long
+texts go through the scaled forward recursion in parts whose transfer matrices are then multiplied.
 
 Words that are rarer than 1 / WORD_SHARE of the training tokens are not held in any worker: their counts come from a join.
 All that is broadcast is bounded: at most WORD_SHARE words and the tables of at most CLASS_SHARE + BUCKETS + 1 classes.
@@ -38,7 +38,8 @@ ROUNDS = 5
 WORD_SHARE = 1 << 19
 CLASS_SHARE = 1 << 13
 BUCKETS = 1 << 12
-SEGMENT = 256
+#: Tokens whose forward vectors training holds at once.
+HELD = 1 << 18
 #: Texts longer than this are scored in parts of this length.
 PART = 1 << 15
 FOLDS, HELD_OUT = 5, 1
@@ -230,49 +231,80 @@ def start(v: Vocabulary, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _segments(sequences: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of at most length tokens as rows padded with 0, longest first, and their lengths."""
-    pieces = [s[i : i + length] for s in sequences for i in range(0, len(s), length)]
-    pieces.sort(key=len, reverse=True)
-    size = np.array([len(p) for p in pieces], np.int64)
-    table = np.zeros((len(pieces), size[0] if len(size) else 0), np.int64)
-    for row, p in zip(table, pieces, strict=True):
-        row[: len(p)] = p
-    return table, size
+class _Rows:
+    """Sequences side by side, longest first: at each step those that have not ended are the first ones."""
 
+    def __init__(self, sequences: list[np.ndarray]):
+        self.length = np.array([len(s) for s in sequences], np.int64)
+        self.order = np.argsort(-self.length, kind="stable")
+        self.order = self.order[self.length[self.order] > 0]
+        self.length = self.length[self.order]
+        self.flat = np.concatenate([sequences[i] for i in self.order]) if len(self.order) else np.zeros(0, np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.steps = int(self.length[0]) if len(self.length) else 0
 
-def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of first states, transitions and emissions, and the log10 likelihood."""
-    table, size = _segments(sequences, SEGMENT)
-    k = len(model.first)
-    emitted = np.zeros_like(model.emit)
-    if not len(size):
-        return np.zeros(k), np.zeros((k, k)), emitted, 0.0
-    steps = table.shape[1]
-    active = np.searchsorted(-size, -np.arange(steps), "left")
-    forward, scale = np.zeros((steps, len(size), k)), np.ones((steps, len(size)))
-    for t in range(steps):
-        n = active[t]
-        a = model.first if t == 0 else forward[t - 1, :n] @ model.move
-        a = a * model.emit[table[:n, t]]
-        scale[t, :n] = c = a.sum(1)
-        forward[t, :n] = a / c[:, None]
-    moves = np.zeros((k, k))
-    backward = np.ones((len(size), k))
-    state = np.empty_like(forward)
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        later = active[t + 1] if t + 1 < steps else 0
-        if later:
-            right = model.emit[table[:later, t + 1]] * backward[:later] / scale[t + 1, :later, None]
-            moves += forward[t, :later].T @ right * model.move
-            backward[:later] = right @ model.move.T
-        state[t, :n] = forward[t, :n] * backward[:n]
-    inside = np.arange(steps)[:, None] < size[None, :]
-    seen, weight = table.T[inside], state[inside]
-    for j in range(k):
-        emitted[:, j] = np.bincount(seen, weight[:, j], len(emitted))
-    return state[0].sum(0), moves, emitted, float(np.log10(scale[inside]).sum())
+    def active(self, lo: int, hi: int) -> np.ndarray:
+        """How many sequences have each of the steps from lo to before hi."""
+        return np.searchsorted(-self.length, -np.arange(lo, hi), "left")
+
+    def tokens(self, lo: int, hi: int, rows: int) -> np.ndarray:
+        """(step, row), the last token again where a row has ended."""
+        at = np.minimum(np.arange(lo, hi)[:, None], self.length[None, :rows] - 1)
+        return self.flat[self.begin[None, :rows] + at].astype(np.int64)
+
+
+def expected(model: Model, sequences: list[np.ndarray], held: int = HELD) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of first states, transitions and emissions, and the log10 likelihood, over whole sequences.
+
+    Steps are taken in spans of about ``held`` tokens. A first pass keeps the forward vectors at the spans' borders; a second
+    one, from the last span to the first, works each span's forward vectors out again and carries the backward vectors on. So
+    memory follows ``held`` and the number of sequences, however long they are.
+    """
+    rows, k = _Rows(sequences), len(model.first)
+    moves, emitted = np.zeros((k, k)), np.zeros_like(model.emit)
+    if not rows.steps:
+        return np.zeros(k), moves, emitted, 0.0
+
+    def forward(lo: int, hi: int, a: np.ndarray, keep: np.ndarray | None = None, scale: np.ndarray | None = None):
+        seen = rows.tokens(lo, hi, len(a))
+        for i, n in enumerate(rows.active(lo, hi)):
+            b = (a[:n] @ model.move if lo + i else a[:n]) * model.emit[seen[i, :n]]
+            c = b.sum(1)
+            a = b / c[:, None]
+            if keep is not None:
+                keep[i, :n], scale[i, :n] = a, c
+        return a, seen
+
+    spans, lo, a = [], 0, np.repeat(model.first[None], len(rows.length), 0)
+    while lo < rows.steps:
+        n = int(rows.active(lo, lo + 1)[0])
+        hi = min(rows.steps, lo + max(1, held // n))
+        spans.append((lo, hi, a[:n]))
+        if hi < rows.steps:
+            a, _ = forward(lo, hi, a[:n])
+        lo = hi
+    backward = np.ones((len(rows.length), k))
+    loglik, after = 0.0, None
+    for lo, hi, a in reversed(spans):
+        keep, scale = np.zeros((hi - lo, len(a), k)), np.ones((hi - lo, len(a)))
+        _, seen = forward(lo, hi, a, keep, scale)
+        active = rows.active(lo, hi + 1)
+        for i in range(hi - lo - 1, -1, -1):
+            n, later = active[i], active[i + 1]
+            if later:
+                token, c = (seen[i + 1, :later], scale[i + 1, :later]) if i + 1 < hi - lo else after
+                right = model.emit[token] * backward[:later] / c[:, None]
+                moves += keep[i, :later].T @ right * model.move
+                backward[:later] = right @ model.move.T
+            keep[i, :n] *= backward[:n]
+        later = active[0]
+        after = seen[0, :later], scale[0, :later]
+        inside = np.arange(lo, hi)[:, None] < rows.length[None, : len(a)]
+        token, weight = seen[inside], keep[inside]
+        for j in range(k):
+            emitted[:, j] += np.bincount(token, weight[:, j], len(emitted))
+        loglik += float(np.log10(scale[inside]).sum())
+    return keep[0].sum(0), moves, emitted, loglik
 
 
 def likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -359,9 +391,8 @@ def _tally(shared):
         first, move, emit, loglik = 0.0, 0.0, 0.0, 0.0
         some = False
         for _, sequences in _gathered(batches, []):
-            for i in range(0, len(sequences), 512):
-                f, m, e, ll = expected(model, sequences[i : i + 512])
-                first, move, emit, loglik, some = first + f, move + m, emit + e, loglik + ll, True
+            f, m, e, ll = expected(model, sequences)
+            first, move, emit, loglik, some = first + f, move + m, emit + e, loglik + ll, True
         if not some:
             return
         seen = np.flatnonzero(emit.sum(1))

@@ -1,16 +1,19 @@
 """The hidden Markov model and the toxicity model: exactness, held-out quality, odd rows."""
 
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomsheet.llm import hmm, toxicity
 
-from .conftest import frame, prose
+from .conftest import WORDS, frame, prose
 
 
 def test_forward_recursion_is_exact(monkeypatch):
@@ -53,7 +56,41 @@ def test_expected_counts_equal_enumeration():
     assert np.allclose(got_emit, emit / total) and np.allclose(got_move, move / total)
 
 
-def test_scores(spark, odd_docs, no_docs):
+def test_counts_do_not_depend_on_the_spans():
+    """Forward vectors kept at a few steps give the counts of those kept at all steps."""
+    rng = np.random.default_rng(1)
+    m = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(5), 2).T)
+    sequences = [rng.integers(0, 5, n) for n in (700, 1, 300, 299, 5, 40, 0, 1)]
+    whole = hmm.expected(m, sequences, held=1 << 20)
+    for held in (1, 7, 64, 1000):
+        assert all(np.allclose(a, b) for a, b in zip(hmm.expected(m, sequences, held), whole, strict=True))
+
+
+def plain_score(m, v, counts, tokens):
+    """The log10 probability of a text, step by step, from the model's tables."""
+    index, logp, a = v.index(), 0.0, None
+    for w in tokens:
+        i = index.get(w, v.own)
+        if i >= v.own:
+            b = zlib.crc32(w) % hmm.BUCKETS
+            i = v.own + b
+            logp += math.log10((counts[w] + 0.5) / (v.bucket_tokens[b] + 0.5 * (v.bucket_words[b] + 1)))
+        a = (m.first if a is None else a @ m.move) * m.emit[i]
+        logp += math.log10(a.sum())
+        a = a / a.sum()
+    return logp
+
+
+def test_scores(spark, odd_docs, no_docs, monkeypatch):
+    made, train_model = [], hmm.baum_welch
+
+    def kept(coded, v, *options):
+        made.append((v, train_model(coded, v, *options)))
+        return made[-1][1]
+
+    monkeypatch.setattr(hmm, "baum_welch", kept)
+    monkeypatch.setattr(hmm, "CLASS_SHARE", 64)
+    monkeypatch.setattr(hmm, "WORD_SHARE", 256)
     docs = odd_docs.unionByName(frame(spark, [(100 + i, prose(i % 7, 60), "s") for i in range(60)]))
     got = hmm.score_texts(docs, states=3, rounds=2).collect()
     rows = docs.collect()
@@ -67,7 +104,9 @@ def test_scores(spark, odd_docs, no_docs):
         held = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1
         want[(r.doc_id, held, len(t), sum(c[w] > 0 for w in t), total, round(base, 4))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    v, (m, _) = made[-1]
+    scores = Counter((r.doc_id, round(plain_score(m, v, c, t), 4)) for r, t in zip(rows, tokens, strict=True))
+    assert Counter((r.doc_id, round(r.score, 4)) for r in got) == scores
     assert hmm.score_texts(no_docs, states=2, rounds=1).count() == 0
 
 
@@ -114,10 +153,74 @@ def test_toxicity_on_held_out_texts(spark, toxic_model):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_windows(text: bytes) -> Counter:
+    found = Counter()
+
+    def pieces(w):
+        at = 0
+        while True:
+            found[w[at : at + toxicity.LONGEST]] += 1
+            if at + toxicity.LONGEST >= len(w):
+                return
+            at += toxicity.LONGEST // 2
+
+    for sentence in re.split(rb"(?<=[.!?])[\x09-\x0D ]|\n", text):
+        words = bytes(b for b in sentence.lower() if not toxicity._PUNCTUATION[b]).split()
+        for w in words:
+            pieces(w)
+        for a, b in zip(words, words[1:]):
+            found[a[-toxicity.HALF :] + b" " + b[: toxicity.HALF]] += 1
+        run = b""
+        for w in [*words, b"xx"]:
+            if len(w) == 1:
+                run += w
+            else:
+                if len(run) >= 3:
+                    pieces(run)
+                run = b""
+    return found
+
+
+def plain_margin(m, w: bytes) -> float:
+    code, total, square = [int(toxicity._CODES[b]) for b in w], 0.0, 0.0
+    for i in range(len(w)):
+        for k in range(i + 2, min(len(w), i + toxicity.SPAN)):
+            for j in range(i + 1, k):
+                part = toxicity.DECAY ** (k - i + 1)
+                total += part * m.weights[code[i] << 12 | code[j] << 6 | code[k]]
+                square += part * part
+    return max(m.least, total / max(square**0.5, toxicity.DECAY**3) + m.offset)
+
+
+def test_margins_equal_plain_sums(toxic_model):
+    """A text's margin against an enumeration of its windows and of their subsequences."""
+    rng = random.Random(4)
+    letters = ["a", "b", "Q", "9", " ", "  ", "\t", "\n", ".", "! ", "-", "é", "moron", " idiot ", "x" * 30, " m o r o n ", "\x01"]
+    texts = ["", " ", "a", "...", *("".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(60))]
+    got = toxic_model.texts(pa.array(texts))
+    for t, g in zip(texts, got, strict=True):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        seen = Counter(toxicity.windows(raw, np.array([0, len(raw)])).strings())
+        assert seen == plain_windows(t.encode()), t
+        assert math.isclose(g, max((plain_margin(toxic_model, w) for w in seen), default=toxic_model.least), abs_tol=1e-7)
+
+
+def test_an_insult_of_two_plain_words_is_learned(spark):
+    """Each word stands in clean sentences too; only their pair marks toxic ones."""
+    rng = random.Random(7)
+    say = lambda *w: " ".join([*rng.choices(WORDS, k=4), *w, *rng.choices(WORDS, k=4)]) + "."
+    rows = [(i, say("wet", "sock") if i % 4 == 0 else say("wet") + " " + say("sock")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_texts(docs, toxicity.train(docs, labels)).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
+
+
 def test_gaps_and_insertions_are_tolerated(toxic_model):
-    worst = lambda t: float(max(toxic_model.margins(toxicity.units(t.encode()))))
+    worst = lambda t: float(toxic_model.texts(pa.array([t]))[0])
     for word in ("moron", "idiot", "stupid"):
-        for form in (word, ".".join(word), " ".join(word), word[:2] + "-" + word[2:], word[:2] + "x" + word[2:]):
+        for form in (word, ".".join(word), " ".join(word), word[:2] + "-" + word[2:], word[:2] + "x" + word[2:], word[:2] + " " + word[2:]):
             assert worst(f"you {form} there") > worst("the morning is fine there")
 
 
