@@ -69,13 +69,33 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
 
 
+def without(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are among the losers, and one row each of those that stand there twice.
+
+    Losers and repeated rows are few beside the texts: where their tables are small Spark broadcasts them and no text moves.
+    """
+    names = list(keys)
+    own = docs.withColumns(keys)
+
+    def meets(table: DataFrame) -> tuple[DataFrame, Column]:
+        side = table.select(*(F.col(c).alias(f"{c}_of") for c in names))
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        return side, same
+
+    kept = own.join(*meets(losers), "left_anti")
+    if twice.head(1):
+        one = kept.join(*meets(twice), "left_semi").dropDuplicates(names)
+        kept = kept.join(*meets(twice), "left_anti").unionByName(one)
+    return kept.drop(*names)
+
+
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """docs without the copies. The join key holds the doc_id beside the digest, so a large group does not meet in one task."""
-    keepers = (
-        resolve(digest_table(docs), support)
-        .where("kept")
-        .select(F.col("digest").alias("__ls_digest"), F.col("doc_id").alias("__ls_keep"))
-    )
-    own = docs.withColumn("__ls_own", text_digest(F.col("text")))
-    same = (F.col("__ls_own") == F.col("__ls_digest")) & F.col("doc_id").eqNullSafe(F.col("__ls_keep"))
-    return own.join(keepers, same, "left_semi").dropDuplicates(["__ls_own", "doc_id"]).drop("__ls_own")
+    """docs without the copies."""
+    rows = stored(resolve(digest_table(docs), support), "resolved")
+    names = (F.col("digest").alias("__ls_digest"), F.col("doc_id").alias("__ls_id"))
+    losers = stored(rows.where("not kept").select(*names).distinct(), "exact-losers")
+    twice = rows.where("kept and group_size > 1").groupBy(*names).count().where("count > 1")
+    keys = {"__ls_digest": text_digest(F.col("text")), "__ls_id": F.col("doc_id")}
+    return without(docs, keys, losers, stored(twice, "exact-twice"))

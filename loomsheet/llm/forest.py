@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from loomsheet.llm import text as T
 from loomsheet.llm.components import components
+from loomsheet.llm.exact_dedup import without
 from loomsheet.llm.store import map_texts, stored
 
 SHINGLE = 5
@@ -306,10 +307,11 @@ def similar_classes(
     classes = stored(classes, "forest-classes")
     pairs, members = candidates(classes)
     met = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(members.select("c")).distinct()
-    met = classes.join(met, "c").select("c", "copies", "nodes", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
-    # rows that repeat id and text would give a class two texts; one is enough
-    bodies = texts.join(met, ["k1", "k2"]).groupBy("c").agg(*(F.any_value(x).alias(x) for x in ("text", "nodes", "copies")))
-    bodies = stored(bodies, "forest-texts")
+    met = classes.join(met, "c").select("c", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
+    # stored keys alone: where they are few, texts that meet no other do not move; rows that repeat id and text would give a
+    # class two texts, one is enough
+    bodies = texts.join(stored(met, "forest-met"), ["k1", "k2"]).groupBy("c").agg(F.any_value("text").alias("text"))
+    bodies = stored(bodies.join(classes.select("c", "nodes", "copies"), "c"), "forest-texts")
     a, b = (bodies.select(F.col("c").alias(x), *(F.col(y).alias(f"{y}_{x}") for y in ("text", "nodes"))) for x in "ab")
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "tree", "text_a", "text_b", "nodes_a", "nodes_b")
     links = map_texts(links, _similar(shingle, similarity), "a long, b long, similarity double")
@@ -348,12 +350,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group, the one with the least doc_id."""
-    heads = near_duplicates(docs, **options).where("kept").select(F.col("k1").alias("__ls_k1"), F.col("k2").alias("__ls_k2"))
-    own = docs.withColumns(
-        {
-            "__ls_k1": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
-            "__ls_k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        }
-    )
-    own = own.join(heads.distinct(), ["__ls_k1", "__ls_k2"], "left_semi")
-    return own.dropDuplicates(["__ls_k1", "__ls_k2"]).drop("__ls_k1", "__ls_k2")
+    names = (F.col("k1").alias("__ls_k1"), F.col("k2").alias("__ls_k2"))
+    rows = stored(near_duplicates(docs, **options).select(*names, "kept", "n_copies"), "near-duplicates")
+    losers = stored(rows.where("not kept").select("__ls_k1", "__ls_k2").distinct(), "near-losers")
+    twice = rows.where("kept and n_copies > 1").groupBy("__ls_k1", "__ls_k2").count().where("count > 1")
+    keys = {
+        "__ls_k1": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+        "__ls_k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+    }
+    return without(docs, keys, losers, stored(twice, "near-twice"))

@@ -1,9 +1,9 @@
 """Personal data in texts, also where it is disguised.
 
 Plain identifiers are found in the text as it is. A second look undoes disguises first: a transducer rewrites homoglyphs
-(look-alike letters, full-width forms, invisible characters), spelled digits ("four one seven") and at/dot spellings
-("name [at] host dot org") and keeps, for each character it writes, the span of the source it came from. Identifiers found
-in the rewritten text are mapped back through these spans; those that meet no plain one of their kind are added.
+(look-alike letters, full-width forms, invisible characters), digits spelled in four languages ("four one seven") and at/dot
+spellings ("name [at] host dot org") and keeps, for each piece it writes, the span of the source it came from. Identifiers
+found in the rewritten text are mapped back through these spans; those that meet no plain one of their kind are added.
 
 Texts are judged one by one, so a table is one map over its rows; a text without any sign of a disguise is not rewritten.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,8 +97,19 @@ _MEAN = "aeopcyxijshdABEKMHOPCTYXIJSoavikptuxABEZHIKMNOPTYX@..."
 GLYPHS = dict(zip(_LOOK, _MEAN, strict=True))
 GLYPHS |= {chr(0xFEE0 + i): chr(i) for i in range(0x21, 0x7F)}
 GLYPHS |= dict.fromkeys("­​‌‍⁠﻿", "")
-DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
-_ONE = "|".join(DIGITS)
+# The digits 0 to 9 as words, a language a line.
+DIGIT_WORDS = """
+zero one two three four five six seven eight nine
+null eins zwei drei vier fünf sechs sieben acht neun
+zéro un deux trois quatre cinq six sept huit neuf
+cero uno dos tres cuatro cinco seis siete ocho nueve
+"""
+DIGITS = {w: str(i) for line in DIGIT_WORDS.split("\n") for i, w in enumerate(line.split())}
+_ONE = "|".join(sorted(DIGITS, key=len, reverse=True))
+#: Letters that an expression without regard to case takes for others.
+_FOLD = str.maketrans("ıİſ", "iis")
+#: A number in words of fewer different digits is taken for repeated words.
+LEAST_DIGITS = 3
 _AT, _DOT = "at|arroba|chez", "dot|punto|punkt|point"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
 
@@ -122,34 +134,53 @@ _REWRITE = re.compile(
 )
 
 
-def rewrite(text: str) -> tuple[str, list[int], list[int]]:
-    """The text without disguises, and for each of its characters the start and end of its source."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-
-    def copy(lo: int, hi: int) -> None:
-        out.append(text[lo:hi])
-        starts.extend(range(lo, hi))
-        ends.extend(range(lo + 1, hi + 1))
-
-    last = 0
-    for m in _REWRITE.finditer(text):
-        copy(last, m.start())
-        last = m.end()
-        kind = m.lastgroup
-        if kind == "glyph":
-            new = GLYPHS[m[0]]
-        elif kind == "digit":
-            new = DIGITS[m[0].lower()]
-        else:
-            new = {"at": "@", "sat": "@", "dot": ".", "sdot": ".", "plus": "+"}[kind]
-        if new:
-            out.append(new)
-            starts.append(m.start())
-            ends.append(m.end())
-    copy(last, len(text))
-    return "".join(out), starts, ends
+class Rewritten:
+    """A text without disguises, as pieces that were copied or written anew; each knows where in the source it comes from."""
+
+    def __init__(self, text: str):
+        out: list[str] = []
+        self.at: list[int] = []
+        self.source: list[Span] = []
+        self.copied: list[bool] = []
+        size = last = 0
+
+        def put(piece: str, lo: int, hi: int, copied: bool) -> None:
+            nonlocal size
+            if piece:
+                out.append(piece)
+                self.at.append(size)
+                self.source.append((lo, hi))
+                self.copied.append(copied)
+                size += len(piece)
+
+        for m in _REWRITE.finditer(text):
+            put(text[last : m.start()], last, m.start(), True)
+            last = m.end()
+            kind = m.lastgroup
+            if kind == "glyph":
+                new = GLYPHS[m[0]]
+            elif kind == "digit":
+                new = DIGITS[m[0].translate(_FOLD).lower()]
+            else:
+                new = {"at": "@", "sat": "@", "dot": ".", "sdot": ".", "plus": "+"}[kind]
+            put(new, m.start(), last, False)
+        put(text[last:], last, len(text), True)
+        self.text = "".join(out)
+
+    def span(self, lo: int, hi: int) -> Span:
+        """The source of the written characters lo to before hi."""
+        first, last = bisect_right(self.at, lo) - 1, bisect_right(self.at, hi - 1) - 1
+        start, end = self.source[first][0], self.source[last][1]
+        if self.copied[first]:
+            start += lo - self.at[first]
+        if self.copied[last]:
+            end = self.source[last][0] + hi - self.at[last]
+        return start, end
+
+    def spelled(self, lo: int, hi: int) -> int:
+        """How many of these characters stand for longer ones."""
+        pieces = range(bisect_right(self.at, lo) - 1, bisect_right(self.at, hi - 1))
+        return sum(not self.copied[i] and self.source[i][1] - self.source[i][0] > 1 for i in pieces)
 
 
 def disguised(text: str) -> bool:
@@ -166,18 +197,18 @@ def added(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Identifiers seen only without disguises, as spans of the source."""
     if not disguised(text):
         return {k: [] for k in KINDS}
-    clear, starts, ends = rewrite(text)
-    found = plain(clear)
+    clear = Rewritten(text)
+    found = plain(clear.text)
     # a number spelled out in words needs no plus sign to be a phone number
-    for m in _CARD.finditer(clear):
+    for m in _CARD.finditer(clear.text):
         lo, hi = m.span()
-        spelled = sum(ends[i] - starts[i] > 1 for i in range(lo, hi))
-        if 9 <= sum(c.isdigit() for c in m[0]) <= 15 and 2 * spelled > hi - lo - m[0].count(" ") - m[0].count("-"):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 9 <= len(digits) <= 15 and len(set(digits)) >= LEAST_DIGITS and 2 * clear.spelled(lo, hi) > len(digits):
             found["phone"].append((lo, hi))
     result = {}
     for kind, spans in found.items():
         new: list[Span] = []
-        for lo, hi in sorted({(starts[lo], ends[hi - 1]) for lo, hi in spans}):
+        for lo, hi in sorted({clear.span(lo, hi) for lo, hi in spans}):
             if all(hi <= a or b <= lo for a, b in base[kind]) and (not new or new[-1][1] <= lo):
                 new.append((lo, hi))
         result[kind] = new

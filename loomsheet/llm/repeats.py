@@ -15,7 +15,11 @@ share an anchor, and one row stands for such a run of starts.
    repeats) and all bytes of the piece name another (in company: every string of the piece repeats). What is left open is
    refined to single strings.
 
-Identifiers are 64-bit hashes of the bytes themselves, so buckets at different executors agree without exchange of ranks.
+Identifiers are hashes of the bytes themselves, so buckets at different executors agree without exchange of ranks; what counts as
+equal has the 64 bits of its initial bucket and 64 bits of its own.
+
+Runs of a text that are equal to each other are put together where the text is read: one row stands for them with their number,
+and the bytes that they cover, merged, are repeated in any case. So a text of one character is a few rows and not one a byte.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing; a text that several rows share is repeated
 at each of them; empty tables give an empty result; further columns are ignored.
@@ -41,7 +45,8 @@ PIECE = 16
 CHUNK = 1 << 22
 _POS = np.uint64((1 << 24) - 1)
 
-_ANCHOR = "bucket long, run long, k1 long, k2 long, p int, lo int, hi int"
+#: n: how often the run stands in its text; 0 for bytes lo to before hi that are known to repeat.
+_ANCHOR = "bucket long, run long, n long, k1 long, k2 long, p int, lo int, hi int"
 
 
 def _arrow(fields: str) -> pa.Schema:
@@ -87,6 +92,41 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, q: int) -> Itera
         yield row, grams[p], run, p + shift, lo + shift, hi + shift
 
 
+def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans [lo, hi) of rows, in order, those that meet or overlap joined."""
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    # rows apart by more than any length, so that one running maximum does for all of them
+    wide = np.int64(1) << 40
+    top = np.maximum.accumulate(row * wide + hi)
+    first = np.append(True, row[1:] * wide + lo[1:] > top[:-1]) if len(row) else np.zeros(0, bool)
+    last = np.append(first[1:], True) if len(row) else first
+    return row[first], lo[first], top[last] - row[last] * wide
+
+
+def _together(row: np.ndarray, bucket: np.ndarray, run: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int):
+    """One row for the equal runs of a text, with their number, and the merged bytes of runs that are not alone in it."""
+    order = np.lexsort((lo, run, bucket, row))
+    row, bucket, run, p, lo, hi = (x[order] for x in (row, bucket, run, p, lo, hi))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]) | (run[1:] != run[:-1])
+    group = np.cumsum(new) - 1
+    n = np.bincount(group)
+    again = n[group] > 1
+    cover, start, end = _merged(row[again], lo[again], hi[again] + length)
+    none = np.zeros(len(cover), np.uint64)
+    parts = (
+        (row[new], cover),
+        (bucket[new], none),
+        (run[new], none),
+        (n, np.zeros(len(cover), np.int64)),
+        (p[new], start),
+        (lo[new], start),
+        (hi[new], end),
+    )
+    return (np.concatenate(x) for x in parts)
+
+
 def _scan(length: int, q: int):
     schema = _arrow(_ANCHOR)
 
@@ -94,10 +134,11 @@ def _scan(length: int, q: int):
         for batch in batches:
             k1, k2 = batch["k1"], batch["k2"]
             for first, _, data, offsets in T.slices(batch["text"]):
-                for row, bucket, run, *spots in anchors(data, offsets, length, q):
+                for found in anchors(data, offsets, length, q):
+                    row, bucket, run, n, *spots = _together(*found, length)
                     rows = pa.array(row + first)
-                    columns = [pa.array(bucket.view(np.int64)), pa.array(run.view(np.int64)), k1.take(rows), k2.take(rows)]
-                    columns += [pa.array(s.astype(np.int32)) for s in spots]
+                    columns = [pa.array(bucket.view(np.int64)), pa.array(run.view(np.int64)), pa.array(n.astype(np.int64))]
+                    columns += [k1.take(rows), k2.take(rows), *(pa.array(s.astype(np.int32)) for s in spots)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return made
@@ -127,7 +168,7 @@ def _cut(length: int):
     return made
 
 
-_PIECE = "n long, k1 long, k2 long, p int, lo int, hi int, core long, whole long"
+_PIECE = "bucket long, n long, k1 long, k2 long, p int, lo int, hi int, core long, whole long"
 
 
 def _pieces(length: int, piece: int):
@@ -152,14 +193,14 @@ def _pieces(length: int, piece: int):
                 group = bucket[s][rep].view(np.uint64)
                 core = T.mix(core ^ T.mix(group + g.astype(np.uint64)))
                 whole = T.mix(whole ^ T.mix(core + ((core_at - a) * piece + (core_at - b)).astype(np.uint64)))
-                columns = [n[s][rep], k1[s][rep], k2[s][rep], p[s][rep], a.astype(np.int32), b.astype(np.int32)]
+                columns = [bucket[s][rep], n[s][rep], k1[s][rep], k2[s][rep], p[s][rep], a.astype(np.int32), b.astype(np.int32)]
                 columns += [core.view(np.int64), whole.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return made
 
 
-_STRING = "n long, k1 long, k2 long, at int, string long"
+_STRING = "bucket long, n long, k1 long, k2 long, at int, string long"
 
 
 def _strings(length: int):
@@ -179,14 +220,14 @@ def _strings(length: int):
                 row = row[each]
                 shift = offsets[row - first] - batch["lo"].to_numpy().astype(np.int64)[row]
                 value = T.span_hash(h, start + shift, start + shift + length)
-                columns = [batch[c].to_numpy()[row] for c in ("n", "k1", "k2")]
+                columns = [batch[c].to_numpy()[row] for c in ("bucket", "n", "k1", "k2")]
                 columns += [start.astype(np.int32), value.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return made
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean"
 
 
 def _removal(with_text: bool):
@@ -196,25 +237,24 @@ def _removal(with_text: bool):
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids, spans = batch["text"].cast(pa.large_binary()), batch["doc_id"], batch["spans"]
+            texts, ids, spans = batch["text"].cast(pa.large_binary()), batch["doc_id"], batch["spans"].fill_null([])
+            flat = spans.flatten()
+            row = np.repeat(np.arange(len(texts)), spans.value_lengths().to_numpy())
+            row, lo, hi = _merged(row, *(flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi")))
+            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
             rows = []
             for i in range(len(texts)):
-                raw, removed, runs, kept, last = texts[i].as_buffer(), 0, 0, [], 0
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans[i].as_py() or ()):
-                    if hi <= last:
-                        continue
-                    if runs and lo <= last:
-                        removed += hi - last
-                    else:
-                        runs += 1
-                        removed += hi - lo
-                        kept.append(raw[last:lo])
-                    last = hi
-                kept.append(raw[last:])
-                left = b"".join(kept)
-                row = (ids[i].as_py(), raw.size, removed, runs, hashlib.sha256(left).hexdigest(), left)
-                rows.append(row if with_text else row[:-1])
-            columns = zip(zip(*rows, strict=True), schema, strict=True)
+                raw, own = texts[i].as_buffer(), slice(bounds[i], bounds[i + 1])
+                removed = int((hi[own] - lo[own]).sum())
+                digest, kept, last = hashlib.sha256(), [], 0
+                for a, b in zip([*lo[own].tolist(), raw.size], [*hi[own].tolist(), raw.size], strict=True):
+                    digest.update(raw[last:a])
+                    if with_text:
+                        kept.append(raw[last:a])
+                    last = b
+                result = (ids[i].as_py(), raw.size, removed, len(lo[own]), digest.hexdigest(), removed > 0)
+                rows.append((*result, b"".join(kept)) if with_text else result)
+            columns = zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=schema)
 
     return made
@@ -232,13 +272,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     piece = max(1, min(piece, length // 4))
     long_texts = texts.where(F.octet_length("text") >= length).select("text", "k1", "k2")
     found = stored(map_texts(long_texts, _scan(length, q), _ANCHOR), "anchors")
+    known = found.where("n = 0").select("k1", "k2", "lo", "hi")
+    found = found.where("n > 0")
     # stored, so that both sides of the join are dealt for it alone and a bucket that many texts share can be split
-    live = stored(found.groupBy("bucket").count().where("count > 1").select("bucket"), "anchors-live")
+    live = stored(found.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"), "anchors-live")
     members = stored(found.join(live, "bucket"), "anchors-met")
     place = F.struct("k1", "k2", "p", "lo", "hi")
-    classes = members.groupBy("bucket", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
+    classes = members.groupBy("bucket", "run").agg(F.sum("n").alias("n"), F.min(place).alias("one"))
     classes = stored(classes, "anchor-classes")
-    whole = members.join(classes.where("n > 1").select("bucket", "run"), ["bucket", "run"])
+    whole = members.where("n = 1").join(classes.where("n > 1").select("bucket", "run"), ["bucket", "run"])
     whole = whole.select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
 
     several = classes.groupBy("bucket").count().where("count > 1").select("bucket")
@@ -247,25 +289,27 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, piece: in
     cut = map_texts(long_texts.join(reps, ["k1", "k2"]), _cut(length), f"{_REP}, bytes binary")
     cut = stored(cut, "anchor-bytes")
     pieces = stored(map_texts(cut, _pieces(length, piece), _PIECE), "anchor-pieces")
-    cores = pieces.groupBy("core").agg(F.sum("n").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    wholes = pieces.groupBy("whole").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
-    by_piece = wholes.where("n > 1 and least = 1").select("whole")
-    by_piece = pieces.where("n = 1").join(by_piece, "whole").select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
-
-    unlike = cores.where("n > 1 and a != b").select("core")
-    left = pieces.join(unlike, "core").groupBy("k1", "k2", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
-    left = cut.join(left, ["k1", "k2", "p"]).select("n", "k1", "k2", "lo", "bytes", "open")
+    cores = pieces.groupBy("bucket", "core").agg(F.sum("n").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    wholes = pieces.groupBy("bucket", "whole").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    by_piece = wholes.where("n > 1 and least = 1").select("bucket", "whole")
+    by_piece = pieces.where("n = 1").join(by_piece, ["bucket", "whole"])
+    by_piece = by_piece.select("k1", "k2", "lo", (F.col("hi") + length).alias("hi"))
+
+    unlike = cores.where("n > 1 and a != b").select("bucket", "core")
+    left = pieces.join(unlike, ["bucket", "core"]).groupBy("k1", "k2", "p").agg(F.collect_list(F.struct("lo", "hi")).alias("open"))
+    left = cut.join(left, ["k1", "k2", "p"]).select("bucket", "n", "k1", "k2", "lo", "bytes", "open")
     strings = stored(map_texts(left, _strings(length), _STRING), "open-strings")
-    again = strings.groupBy("string").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
-    single = strings.where("n = 1").join(again.select("string"), "string")
+    again = strings.groupBy("bucket", "string").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1")
+    single = strings.where("n = 1").join(again.select("bucket", "string"), ["bucket", "string"])
     single = single.select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    return whole.unionByName(by_piece).unionByName(single)
+    return known.unionByName(whole).unionByName(by_piece).unionByName(single)
 
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, q: int = Q, piece: int = PIECE, with_text: bool = True
 ) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept: the remaining bytes."""
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (n_removed > 0) and, with_text, kept: the
+    remaining bytes."""
     texts = _keyed(docs)
     spans = repeated_spans(texts, length, q, piece)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -169,7 +169,7 @@ def _doc_prints(bits, short: list[int], k: int, guarantee: int):
                         T.list_column(each, start.astype(np.int32), pa.int32()),
                         T.list_column(each * around, runs.ravel().view(_SIGNED), pa.int64()),
                     ],
-                    schema=_DOC,
+                    schema=_DOC.set(1, batch.schema.field("row")),
                 )
                 key += end - first
 
@@ -209,8 +209,9 @@ def find_contaminated(
     of_set = sets.groupBy("items").agg(F.min(F.struct("run", "length")).alias("one"))
     of_set = of_set.join(pairs, (F.col("one.run") == F.col("run")) & (F.col("one.length") == F.col("length")))
 
-    texts = docs.select(F.col(id_column).cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "key long, row long, n_words long, prints array<long>, lengths array<int>, starts array<int>, runs array<long>"
+    own = F.col(id_column) if dict(docs.dtypes)[id_column].startswith("struct") else F.col(id_column).cast("long")
+    texts = docs.select(own.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = f"key long, row {dict(texts.dtypes)['row']}, n_words long, prints array<long>, lengths array<int>, starts array<int>, runs array<long>"
     found = stored(map_texts(texts, _doc_prints(bits, sorted(short), k, guarantee), schema), "doc-prints")
     around = guarantee - k + 1
     hits = (
@@ -272,9 +273,11 @@ def _merged(done, span):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a run of the benchmark. Verdicts follow the text, by its digest."""
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("__ls_text"), "text")
-    found = find_contaminated(texts, benchmark, id_column="__ls_text", **options)
-    bad = found.where("contaminated").select("__ls_text").distinct()
-    own = docs.withColumn("__ls_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(bad, "__ls_text", "left_anti").drop("__ls_text")
+    """docs without the documents that hold a run of the benchmark. Verdicts follow the text, by a hash of 128 bits."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    found = find_contaminated(docs.select(key.alias("__ls_text"), "text"), benchmark, id_column="__ls_text", **options)
+    # stored, so that Spark knows its size and need not move texts for a small one
+    bad = stored(found.where("contaminated").select(F.col("__ls_text.a").alias("__ls_a"), F.col("__ls_text.b").alias("__ls_b")).distinct(), "contaminated")
+    own = docs.withColumns({"__ls_a": F.xxhash64(text), "__ls_b": F.xxhash64(F.lit(1), text)})
+    return own.join(bad, ["__ls_a", "__ls_b"], "left_anti").drop("__ls_a", "__ls_b")

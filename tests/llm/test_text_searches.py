@@ -113,6 +113,57 @@ def test_every_disguise_is_rewritten(text, found):
     assert [text[a:b] for a, b in spans] == [found]
 
 
+def added_by_characters(text):
+    """The second look with a source span for every character that it writes."""
+    out, source = [], []
+    last = 0
+    for m in [*pii._REWRITE.finditer(text), None]:
+        end = len(text) if m is None else m.start()
+        out += text[last:end]
+        source += [(i, i + 1) for i in range(last, end)]
+        if m is None:
+            break
+        last = m.end()
+        name = m.lastgroup
+        new = pii.GLYPHS[m[0]] if name == "glyph" else pii.DIGITS[m[0].lower()] if name == "digit" else {"at": "@", "sat": "@", "plus": "+"}.get(name, ".")
+        out += new
+        source += [m.span()] * len(new)
+    clear = "".join(out)
+    found = base_by_expression(clear)
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", clear):
+        digits = re.sub("[ -]", "", m[0])
+        words = sum(source[i][1] - source[i][0] > 1 for i in range(*m.span()))
+        if 9 <= len(digits) <= 15 and len(set(digits)) >= 3 and 2 * words > len(digits):
+            found["phone"].append(m.span())
+    base, result = base_by_expression(text), {}
+    for kind, spans in found.items():
+        own = []
+        for lo, hi in sorted({(source[a][0], source[b - 1][1]) for a, b in spans}):
+            if all(hi <= a or b <= lo for a, b in base[kind]) and (not own or own[-1][1] <= lo):
+                own.append((lo, hi))
+        result[kind] = own
+    return result
+
+
+def test_spans_equal_those_by_characters():
+    rng = np.random.default_rng(9)
+    pieces = ["jane", "x.org", " at ", " dot ", " punkt ", "@", ".", " ", "-", "plus ", "1", "4111 1111", "192.168.", "one", "two ", "four ", "nine ", "fünf ", "deux ", "[at]", "( . )", "555", "cero ", "siete ", "а", "\u200b", "１", "Ünïcode", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 18)))
+        assert pii.added(text, pii.plain(text)) == added_by_characters(text), text
+
+
+@pytest.mark.parametrize("text", ["ſix ſeven fıve nıne ONE two", "İ one two İne", "one " * 20])
+def test_odd_letters_and_repeated_digit_words(text):
+    assert not any(pii.added(text, pii.plain(text)).values())
+
+
+@pytest.mark.parametrize("number", ["drei vier fünf eins zwei sieben acht neun sechs", "trois quatre cinq deux sept huit neuf six zéro", "tres cuatro cinco dos siete ocho nueve seis cero"])
+def test_numbers_in_other_languages(number):
+    text = f"ruf {number} an"
+    assert [text[a:b] for a, b in pii.added(text, pii.plain(text))["phone"]] == [number]
+
+
 def test_the_gate_changes_no_result(monkeypatch):
     rng = np.random.default_rng(8)
     pieces = ["jane", "x.org", "com", " at ", " dot ", " point ", "@", ".", " ", " ", "-", "+", "plus ", "1", "4111 1111", "192.168.", "one", "two", "four ", "nine", "[at]", "(.)", "555", "(", ")", "3com", "а", "\n"]
