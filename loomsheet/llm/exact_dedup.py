@@ -72,13 +72,13 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 def without(docs: DataFrame, keys: dict[str, Column], losers: DataFrame, twice: DataFrame) -> DataFrame:
     """docs without the rows whose keys are among the losers, and one row each of those that stand there twice.
 
-    Losers and repeated rows are few beside the texts: where their tables are small Spark broadcasts them and no text moves.
+    The joins are merges at every size: a table of losers grows with the documents, so it is never broadcast.
     """
     names = list(keys)
     own = docs.withColumns(keys)
 
     def meets(table: DataFrame) -> tuple[DataFrame, Column]:
-        side = table.select(*(F.col(c).alias(f"{c}_of") for c in names))
+        side = table.select(*(F.col(c).alias(f"{c}_of") for c in names)).hint("merge")
         same = F.lit(True)
         for c in names:
             same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))

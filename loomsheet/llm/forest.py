@@ -308,9 +308,9 @@ def similar_classes(
     pairs, members = candidates(classes)
     met = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(members.select("c")).distinct()
     met = classes.join(met, "c").select("c", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
-    # stored keys alone: where they are few, texts that meet no other do not move; rows that repeat id and text would give a
-    # class two texts, one is enough
-    bodies = texts.join(stored(met, "forest-met"), ["k1", "k2"]).groupBy("c").agg(F.any_value("text").alias("text"))
+    # a merge at every size, as these keys grow with the documents; rows that repeat id and text would give a class two texts,
+    # one is enough
+    bodies = texts.join(stored(met, "forest-met").hint("merge"), ["k1", "k2"]).groupBy("c").agg(F.any_value("text").alias("text"))
     bodies = stored(bodies.join(classes.select("c", "nodes", "copies"), "c"), "forest-texts")
     a, b = (bodies.select(F.col("c").alias(x), *(F.col(y).alias(f"{y}_{x}") for y in ("text", "nodes"))) for x in "ab")
     links = pairs.join(a, "a").join(b, "b").select("a", "b", "tree", "text_a", "text_b", "nodes_a", "nodes_b")
