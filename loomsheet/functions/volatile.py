@@ -5,7 +5,9 @@ A cell's stream starts from its key's FNV-1a hash and a seed; SplitMix64 gives i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,10 +42,32 @@ def _fnv(keys: list[bytes]) -> np.ndarray:
 def uniform(keys: list[str], seed: int, draw: int = 0) -> np.ndarray:
     """Numbers in [0, 1) of the keys' streams at one draw."""
     with np.errstate(over="ignore"):
-        state = _mix(np.array([seed], np.uint64) + _GAMMA) ^ _mix(_fnv([k.encode() for k in keys]))
+        state = _mix(np.array([seed], np.uint64)) ^ _mix(_fnv([k.encode() for k in keys]))
         return (_mix(state + _GAMMA * np.uint64(draw + 1)) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
+@dataclass(frozen=True)
+class Tick:
+    """What one recalculation sees of the world: a time and a seed, the same for every cell of every sheet, so that a
+    recalculation can be repeated."""
+
+    serial: float
+    seed: int
+
+    def now(self) -> Column:
+        return F.lit(self.serial)
+
+    def today(self) -> Column:
+        return F.lit(float(math.floor(self.serial)))
+
+    def rand(self, key: Column, draw: int = 0) -> Column:
+        return rand(key, self.seed, draw)
+
+    def randbetween(self, key: Column, low: Column, high: Column, draw: int = 0) -> Column:
+        """A whole number from low to high."""
+        return low + F.floor(self.rand(key, draw) * (high - low + 1))
+
+
 def rand(key: Column, seed: int, draw: int = 0) -> Column:
     """RAND() of the cell named by key."""
 

@@ -20,6 +20,53 @@ def match(df: DataFrame, key: Column, table: DataFrame, on: str, row: str, name:
     return vlookup(df, key, table, on, row, row, name, err)
 
 
+def vlookup_column(
+    df: DataFrame, key: Column, key_error: Column, k: Column, table: DataFrame, on: str, on_error: str, order: str, columns: list[str]
+) -> DataFrame:
+    """df with v and e of VLOOKUP(key, table, k, FALSE), where cells may be errors and k is data.
+
+    In this order: k below 1 is #VALUE!, k beyond the columns #REF!, then the key's own error; an error in the key column before
+    the first hit, or anywhere for a miss, is the result; else a miss is #N/A.
+    """
+    hits = table.where(F.col(on_error).isNull() & F.col(on).isNotNull()).groupBy(F.col(on).alias("__on"))
+    hits = hits.agg(F.min(F.struct(F.col(order).alias("at"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))).alias("__hit"))
+    bad = table.where(F.col(on_error).isNotNull()).agg(F.min(F.struct(F.col(order).alias("at"), F.col(on_error).alias("e"))).alias("__bad"))
+    place = F.floor(k)
+    rows = df.withColumns({"__key": key, "__key_error": key_error, "__k": place})
+    rows = rows.join(hits, F.col("__key") == F.col("__on"), "left").join(F.broadcast(bad))
+    before = F.col("__bad").isNotNull() & (F.col("__hit").isNull() | (F.col("__bad.at") < F.col("__hit.at")))
+    err = (
+        F.when(F.col("__k") < 1, F.lit("#VALUE!"))
+        .when(F.col("__k") > len(columns), F.lit("#REF!"))
+        .when(F.col("__key_error").isNotNull(), F.col("__key_error"))
+        .when(before, F.col("__bad.e"))
+        .when(F.col("__hit").isNull(), F.lit("#N/A"))
+    )
+    value = F.get(F.array(*(F.col(f"__hit.c{i}") for i in range(len(columns)))), (F.col("__k") - 1).cast("int"))
+    return rows.select(*df.columns, F.when(err.isNull(), value).alias("v"), err.alias("e"))
+
+
+def match_area(
+    df: DataFrame, key: Column, key_error: Column, table: DataFrame, on: str, on_error: str, row: str, width: int = 1
+) -> DataFrame:
+    """df with v and e of MATCH(key, column, 0): the key's error first, #VALUE! for an area of several columns (and rows), an
+    error in the column before the hit, #N/A for a miss."""
+    if width > 1:
+        return df.withColumns({"v": F.lit(None).cast("double"), "e": F.coalesce(key_error, F.lit("#VALUE!"))})
+    found = vlookup_column(df, key, key_error, F.lit(1), table, on, on_error, row, [row])
+    return found
+
+
+def index_area(df: DataFrame, r: Column, c: Column, table: DataFrame, row: str, columns: list[str], rows: int) -> DataFrame:
+    """df with v and e of INDEX(area, r, c): #VALUE! where r or c is below 1, #REF! beyond the area."""
+    side = table.select(F.col(row).alias("__row"), F.array(*(F.col(x).cast("double") for x in columns)).alias("__cells"))
+    at = df.withColumns({"__r": F.floor(r), "__c": F.floor(c)}).join(side, F.col("__r") == F.col("__row"), "left")
+    low = (F.col("__r") < 1) | (F.col("__c") < 1)
+    err = F.when(low, F.lit("#VALUE!")).when((F.col("__r") > rows) | (F.col("__c") > len(columns)), F.lit("#REF!"))
+    value = F.get("__cells", (F.col("__c") - 1).cast("int"))
+    return at.select(*df.columns, F.when(err.isNull(), value).alias("v"), err.alias("e"))
+
+
 def index(df: DataFrame, at: Column, table: DataFrame, row: str, value: str, rows: Column, name: str = "v", err: str = "e") -> DataFrame:
     """df with table's value at row ``at``: #VALUE! below 1, #REF! beyond rows."""
     place = F.floor(at)

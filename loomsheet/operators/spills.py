@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomsheet.sources.tables import stored
+
 #: Grid bounds.
 MAX_ROWS, MAX_COLS = 1_048_576, 16_384
 #: Cells to a side of a block of the spatial join.
@@ -56,3 +60,31 @@ def epochs(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(a, "anchor", "left").select(
         "anchor", "rows", "blocked", "digest", (F.coalesce("epoch", F.lit(0)) + F.when(same, 0).otherwise(1)).alias("epoch")
     )
+
+
+def repaired(facts: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
+    """Facts (anchor, rows, blocked) after evaluating them again from the facts before until none changes.
+
+    step gives the new facts; formulas that read other spills see those of the round before. Raises where they do not settle.
+    """
+    now = stored(facts.select("anchor", "rows", "blocked"), "spill-facts")
+    for _ in range(most):
+        new = stored(step(now).select("anchor", "rows", "blocked"), "spill-facts")
+        if not new.exceptAll(now).head(1):
+            return new
+        now = new
+    raise ValueError(f"spills do not settle in {most} rounds")
+
+
+def vacated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(anchor, row): the rows of old extents (anchor, top, bottom) that the new ones no longer reach, to be cleared."""
+    both = old.select("anchor", F.col("top").alias("__t"), F.col("bottom").alias("__b")).join(new.select("anchor", "top", "bottom"), "anchor", "left")
+    cells = both.select("anchor", "top", "bottom", F.explode(F.sequence("__t", "__b")).alias("row"))
+    return cells.where("top is null or row < top or row > bottom").select("anchor", "row")
+
+
+def consumers_to_run(before: DataFrame, after: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(consumer): those of consumers(consumer, anchor) that read a spill whose epoch rose."""
+    was = before.select("anchor", F.col("epoch").alias("__was"))
+    risen = after.join(was, "anchor", "left").where(F.col("__was").isNull() | (F.col("epoch") > F.col("__was")))
+    return consumers.join(risen.select("anchor"), "anchor", "left_semi").select("consumer").distinct()

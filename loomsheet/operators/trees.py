@@ -66,3 +66,27 @@ def descendants(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     if found is None:
         found = level
     return found.select("node", F.col("at").alias("descendant"), "path")
+
+
+def at_paths(nodes: DataFrame, paths: DataFrame, name: str = "name") -> DataFrame:
+    """paths(path: array of names from the root's children on) with node, null where a step names no child.
+
+    nodes has node, parent, ord and a name. A step is a join on (parent, name), and there are as many as the deepest path has.
+    """
+    down = nodes.select(F.col("parent").alias("__p"), F.col(name).alias("__name"), F.col("node").alias("__n"))
+    deepest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    root = nodes.where("parent is null").select(F.col("node").alias("node"))
+    rows = paths.join(F.broadcast(root))
+    for i in range(deepest):
+        step = F.get("path", F.lit(i))
+        rows = rows.join(down, (F.col("node") == F.col("__p")) & (step == F.col("__name")), "left")
+        rows = rows.withColumn("node", F.when(step.isNull(), F.col("node")).otherwise(F.col("__n"))).drop("__p", "__name", "__n")
+    return rows
+
+
+def sibling_at(nodes: DataFrame, by: int) -> DataFrame:
+    """(node, sibling): the node ``by`` places further among its siblings, null beyond the first or last."""
+    placed = ordered.in_blocks(nodes.where("parent is not null").select("node", "parent", "ord"), "parent", "ord")
+    at = ordered.scan(placed, ["ord"], "at", F.sum, F.lit(1), ["parent"]).select("node", "parent", "at")
+    other = at.select(F.col("node").alias("sibling"), F.col("parent").alias("__p"), F.col("at").alias("__at"))
+    return at.join(other, (F.col("parent") == F.col("__p")) & (F.col("at") + by == F.col("__at")), "left").select("node", "sibling")

@@ -106,6 +106,27 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float
     return [at[int(s) + 1] + (s - int(s)) * (at[min(n, int(s) + 2)] - at[int(s) + 1]) for s in spots]
 
 
+def thresholds(df: DataFrame, column: str, kinds: Sequence[tuple[str, float | None]]) -> list[float]:
+    """Numbers for (kind, value): min, mid and max of the column, number, percent of its range, exact percentile."""
+    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    ranks = [v / 100 for kind, v in kinds if kind == "percentile"]
+    found = iter(quantiles(df, column, ranks) if ranks else ())
+    def one(kind: str, value: float | None) -> float:
+        if kind == "number":
+            return float(value)
+        if kind == "percentile":
+            return next(found)
+        if kind == "mid":
+            return (low + high) / 2
+        if kind in ("min", "max"):
+            return low if kind == "min" else high
+        if kind == "percent":
+            return low + value / 100 * (high - low)
+        raise ValueError(kind)
+
+    return [one(*k) for k in kinds]
+
+
 def offset_frames(df: DataFrame, halo: int, columns: dict[str, Column], row: str = "row", rows: int = BLOCK_ROWS) -> DataFrame:
     """Window expressions (over :func:`frame`) that look at most ``halo`` rows back, by blocks with copies of the rows before."""
     block = F.floor((F.col(row) - 1) / rows)

@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@dataclass
+class Reference:
+    """A sheet's name in a formula, bound to a sheet, dormant (no such sheet yet) or broken (its sheet was deleted)."""
+
+    workbook: Workbook
+    name: str
+    bound: str | None
+    broken: bool = False
+
+
 @dataclass
 class Workbook:
     """Sheets by name and names by (scope, name); names of sheets and of names compare without regard to case.
@@ -19,11 +29,48 @@ class Workbook:
 
     sheets: dict[str, DataFrame]
     names: dict[tuple[str | None, str], Callable[[Workbook], DataFrame]] = field(default_factory=dict)
+    references: list[Reference] = field(default_factory=list)
 
     def sheet(self, name: str) -> DataFrame | None:
         """The sheet, or None where it does not exist (yet): a reference to it is dormant, not broken."""
         return next((df for n, df in self.sheets.items() if n.casefold() == name.casefold()), None)
 
+    def refer(self, name: str) -> Reference:
+        """A reference bound to the sheet of that name as it is now, or dormant until a sheet of that name is added."""
+        found = next((n for n in self.sheets if n.casefold() == name.casefold()), None)
+        made = Reference(self, name, found)
+        self.references.append(made)
+        return made
+
+    def add(self, name: str, df: DataFrame) -> None:
+        """A new sheet at the end; dormant references to its name heal, broken ones do not."""
+        self.sheets[name] = df
+        for r in self.references:
+            if r.bound is None and not r.broken and r.name.casefold() == name.casefold():
+                r.bound = name
+
+    def rename(self, old: str, new: str) -> None:
+        """References follow their sheet, whose place stays."""
+        self.sheets = {new if n == old else n: df for n, df in self.sheets.items()}
+        for r in self.references:
+            if r.bound == old:
+                r.bound = new
+
+    def delete(self, name: str) -> None:
+        """References to the sheet break for good: a later sheet of that name is another one."""
+        del self.sheets[name]
+        for r in self.references:
+            if r.bound == name:
+                r.bound, r.broken = None, True
+
+    def read(self, reference: Reference, rows: DataFrame, key: str, on: str, value: str) -> DataFrame:
+        """rows with v and e of the referred sheet's value where its ``on`` equals key; #REF! for a sheet that is not there."""
+        none = F.lit(None).cast("double")
+        if reference.bound is None:
+            return rows.withColumns({"v": none, "e": F.lit("#REF!")})
+        side = self.sheets[reference.bound].select(F.col(on).alias("__on"), F.col(value).cast("double").alias("v"))
+        return rows.join(side, F.col(key) == F.col("__on"), "left").withColumn("e", none.cast("string")).drop("__on")
+
     def define(self, name: str, meaning: Callable[[Workbook], DataFrame], scope: str | None = None) -> None:
         self.names[(scope and scope.casefold(), name.casefold())] = meaning
 

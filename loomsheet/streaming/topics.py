@@ -44,6 +44,31 @@ def seeds(updates: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return accepted(updates).select("topic_id").distinct().join(subscriptions, "topic_id").select("node").distinct()
 
 
+def lifecycle(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, action, was, topic, reason): how subscriptions (node, topic_id), one a node, change from old to new."""
+    both = old.select("node", F.col("topic_id").alias("was")).join(new.select("node", F.col("topic_id").alias("topic")), "node", "full_outer")
+    action = F.when(F.col("was").isNull(), "Created").when(F.col("topic").isNull(), "Released").when(F.col("was") != F.col("topic"), "Replaced")
+    reason = F.when(F.col("was").isNull(), "PreparedRuntimeEffect").when(F.col("topic").isNull(), "FormulaRemoved").otherwise("FormulaTextChanged")
+    return both.select("node", action.alias("action"), "was", "topic", reason.alias("reason")).where("action is not null")
+
+
+# What a provider of real-time data may be set to.
+MODES = ("Disabled", "CapabilityDenied", "NoValueYet", "ConnectionFailed", "ProviderError", "Value")
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """rows(mode, number, error) with v, state, e and pending: a disabled provider denies, its own error becomes the cell's."""
+    state = F.when(F.col("mode") == "Disabled", "CapabilityDenied").otherwise(F.col("mode"))
+    return rows.withColumns(
+        {
+            "v": F.when(state == "Value", F.col("number")),
+            "state": state,
+            "e": F.when(state == "ProviderError", F.col("error")),
+            "pending": state == "NoValueYet",
+        }
+    )
+
+
 _FIELDS = "topic_id string, topic_sequence long, payload_ref string, ordering_key long, dedupe_identity string"
 
 

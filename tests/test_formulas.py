@@ -155,7 +155,7 @@ def test_trees_and_graphs(spark):
     up = trees.ancestors(nodes, spark.createDataFrame([("c",), ("b",)], "node string")).collect()
     assert [(r.node, r.ancestor) for r in up] == [("c", "a")]
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 1)], "source int, target int")
-    assert {r.node for r in graph.cyclic_nodes(edges).collect()} == {1, 2, 3}
+    assert {(r.node, r.group) for r in graph.cycle_groups(edges).collect()} == {(1, 1), (2, 1), (3, 1)}
     reached = graph.closure(edges, spark.createDataFrame([(3,)], "node int"))
     assert {r.node: r.depth for r in reached.collect()} == {3: 0, 1: 1, 4: 1, 2: 2}
     cells = spark.createDataFrame([(1, 0.0, 0.0)], "node int, base double, value double")
@@ -163,6 +163,62 @@ def test_trees_and_graphs(spark):
         graph.jacobi(cells.withColumn("base", F.lit(1.0)), spark.createDataFrame([(1, 1, 1.0)], "source int, target int, weight double"), most=5)
 
 
+def test_cycle_groups_leave_out_what_lies_between(spark):
+    """Two rings with a bridge, a node that refers to itself, a chain: groups against reachability both ways."""
+    pairs = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 4), (7, 7), (7, 8), (8, 9), (10, 11), (11, 12), (12, 10), (11, 10)]
+    edges = spark.createDataFrame(pairs, "source int, target int")
+    reach = {p: True for p in pairs}
+    nodes = range(1, 13)
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                if (a, k) in reach and (k, b) in reach:
+                    reach[a, b] = True
+    want = {(a, min(b for b in nodes if (a, b) in reach and (b, a) in reach)) for a in nodes if (a, a) in reach}
+    assert {(r.node, r.group) for r in graph.cycle_groups(edges).collect()} == want
+    assert graph.cycle_groups(edges.limit(0)).count() == 0
+
+
+def test_long_chains_close(spark):
+    """A chain far longer than the rounds it takes, a ring, a shorter way into the chain, and seeds inside it."""
+    chain = [(i, i + 1) for i in range(3000)] + [(5000, 5001), (5001, 5000), (0, 9000), (9000, 2990)]
+    edges = spark.createDataFrame(chain, "source int, target int")
+    got = {r.node: r.depth for r in graph.closure(edges, spark.createDataFrame([(0,), (1500,)], "node int")).collect()}
+    assert got == {**{i: i if i < 1500 else min(i - 1500, i - 2988 if i >= 2990 else i) for i in range(3001)}, 9000: 1}
+    ring = graph.closure(edges, spark.createDataFrame([(5000,)], "node int")).collect()
+    assert {r.node: r.depth for r in ring} == {5000: 0, 5001: 1}
+
+
+def test_structured_names_and_a1_texts(spark):
+    from loomsheet.operators.references import a1_address
+    from loomsheet.operators.tables import column_name
+
+    assert [column_name(t) for t in ("a", "'#b", "it''s", "'[x']")] == ["a", "#b", "it's", "[x]"]
+    texts = {"A1": (None, 1, 1), "$xfd$7": (None, 7, 16384), "'My sheet'!AA10": ("My sheet", 10, 27), "XFE1": None, "A0": None, "A1048577": None, "": None, "1A": None, "S!": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", a1_address(F.col("t")).alias("at")).collect()
+    assert {r.t: r["at"] and tuple(r["at"]) for r in rows} == texts
+
+
+def test_cones_leave_out_what_is_not_read(spark):
+    from loomsheet.plans.cone import cone
+
+    df = spark.range(2).toDF("x")
+    formulas = {"a": (["x"], F.col("x") + 1), "b": (["a"], F.col("a") * 2), "c": (["b", "a"], F.col("b") + F.col("a")), "bad": (["x"], F.raise_error(F.lit("read")))}
+    assert [tuple(r) for r in cone(df, ["x"], formulas, ["c"]).orderBy("x").collect()] == [(0, 3), (1, 6)]
+    with pytest.raises(ValueError, match="circle"):
+        cone(df, [], {"a": (["b"], F.col("b")), "b": (["a"], F.col("a"))}, ["a"])
+    with pytest.raises(ValueError, match="no column"):
+        cone(df, [], {"a": (["y"], F.col("y"))}, ["a"])
+
+
+def test_spills_that_never_settle_raise(spark):
+    from loomsheet.operators import spills
+
+    facts = spark.createDataFrame([(1, 1, False)], "anchor int, rows int, blocked boolean")
+    with pytest.raises(ValueError, match="settle"):
+        spills.repaired(facts, lambda f: f.withColumn("rows", F.col("rows") + 1), most=3)
+
+
 def test_random_streams_belong_to_cells(spark):
     from loomsheet.functions.volatile import rand, uniform
 
@@ -178,10 +234,11 @@ def test_random_streams_belong_to_cells(spark):
         for b in key.encode():
             h = (h ^ b) * 0x100000001B3 & m
         g = 0x9E3779B97F4A7C15
-        state = mix((seed + g) & m) ^ mix(h)
+        state = mix(seed) ^ mix(h)
         return (mix((state + g * (draw + 1)) & m) >> 11) / (1 << 53)
 
     keys = ["", "A1", "S!R2C3", "é"]
+    assert round(float(uniform(["A1"], 42)[0]), 4) == 0.0131
     assert list(uniform(keys, 9, 2)) == [plain(k, 9, 2) for k in keys]
     rows = spark.createDataFrame([(f"k{i}",) for i in range(200)], "k string")
     runs = [{tuple(r) for r in rows.repartition(n).select("k", rand(F.col("k"), 1)).collect()} for n in (1, 5)]
