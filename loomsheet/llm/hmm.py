@@ -43,8 +43,9 @@ HELD = 1 << 18
 #: Texts longer than this are scored in parts of this length.
 PART = 1 << 15
 FOLDS, HELD_OUT = 5, 1
-#: Tokens that a scoring task gathers before it runs the recursion over them together.
+#: Tokens, and texts, that a task gathers at most (but for one text) before it runs the recursion over them together.
 TOGETHER = 1 << 22
+TEXTS = 1 << 16
 END = b"\n"
 _SMOOTH = 0.5
 
@@ -371,7 +372,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
         for i, s in enumerate(sequences):
             tokens.append(s)
             size += len(s)
-            if size >= TOGETHER:
+            if size >= TOGETHER or len(tokens) >= TEXTS:
                 held.append(kept.slice(at, i + 1 - at))
                 yield held, tokens
                 held, tokens, size, at = [], [], 0, i + 1
