@@ -1,6 +1,8 @@
 """The pipeline against a plain version of its stages, each judged on its own input."""
 
+import random
 import string
+import zlib
 from collections import Counter
 
 import pytest
@@ -9,10 +11,12 @@ import corpus_pipeline
 from loomsheet.llm import mixing, toxicity
 from loomsheet.llm.store import stored
 
+from .conftest import frame, prose
 from .test_exact_and_mixing import targets
 from .test_text_searches import contamination, links_by_force
 
 SF = "/root/testdata/sf0.001"
+INSULTS = ("moron", "idiot", "pathetic", "worthless")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -36,10 +40,21 @@ def test_columns(steps):
 
 
 def test_toxic_texts_go(spark, steps):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = toxicity.train(steps[0], labels)
-    clean = toxicity.score_texts(steps[0], model).where("predicted = 0")
-    assert ids(steps[1]) == ids(clean)
+    """Of texts with known insults, plain and with characters put in, those outside the training fold go; all others stay."""
+    kept = set(ids(steps[1]))
+    assert kept <= set(ids(steps[0]))
+    rng = random.Random(3)
+    plain = lambda i: f"{prose(i, 12)}. {prose(i + 5000, 9)}."
+    hidden = lambda w: w if rng.random() < 0.7 else w[:3] + rng.choice("-x. ") + w[3:]
+    toxic = {i: i % 4 == 0 for i in range(800)}
+    rows = [(i, plain(i) + (f" You {hidden(rng.choice(INSULTS))} {prose(i, 2)}." if bad else ""), "s") for i, bad in toxic.items()]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in toxic.items()], "doc_id long, toxic int")
+    left = ids(toxicity.drop_toxic(docs, labels))
+    clean = [i for i, bad in toxic.items() if not bad]
+    held = [i for i, bad in toxic.items() if bad and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert set(clean) <= set(left)
+    assert len(held) > 30 and len(set(held) & set(left)) <= 0.1 * len(held)
 
 
 def test_copies_go(steps):
