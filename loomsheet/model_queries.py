@@ -322,9 +322,9 @@ def edit_names(spark, folder):
     return edited(catalog, renamed, deleted, resized)
 
 
-@_query("select p_partkey, case when s%10=1 then null when s%10=2 then 'R_N'||s else 'N'||s end as name, case when s%10=1 then '#NAME?' end as e from (select p_partkey, p_partkey%100 as s from part)")
+@_query("select p_partkey, case when s_suppkey%10=1 then null when s_suppkey%10=2 then 'R_N'||s else 'N'||s end as name, case when s_suppkey%10=1 then '#NAME?' end as e from (select p_partkey, p_partkey%100 as s from part) left join supplier on s_suppkey=s")
 def edit_name_uses(spark, folder):
-    """Formulas that use those names: renamed ones follow, deleted ones are #NAME?."""
+    """Formulas that use those names: renamed ones follow, deleted ones are #NAME?; names outside the catalog stay as they are."""
     _, renamed, deleted, _ = _name_edits(spark, folder)
     uses = sheet(spark, folder, "part").select("p_partkey", F.concat(F.lit("N"), (F.col("p_partkey") % 100).cast("string")).alias("name"))
     return rewritten(uses, renamed, deleted).select("p_partkey", "name", "e")
