@@ -24,7 +24,8 @@ kept as (
     max(hi) as last, sum(hi - lo)::bigint as n_removed, count(*) as n_spans
   from gone join docs using (r) group by r)
 select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 1) - 1))) as kept_sha256
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 1) - 1))) as kept_sha256,
+  coalesce(n_removed, 0) > 0 as repeated
 from docs left join kept using (r)
 """
 
