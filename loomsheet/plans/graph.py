@@ -8,31 +8,41 @@ from pyspark.sql import functions as F
 from loomsheet.sources.tables import stored
 
 
-def _chains(edges: DataFrame, heads: DataFrame) -> DataFrame:
-    """(node, head, steps) of the nodes inside chains: they have one edge in, from a node with one edge out, and are no heads.
+def _walked(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, head, steps, least) of the nodes inside chains: they have one edge in, from a node with one edge out, and are no
+    heads. least is the least node from node back to before head.
 
-    Pointers to the node before are doubled, so a chain of n nodes takes log2(n) rounds. Rings of such nodes reach no head and are
-    left out.
+    Pointers to the node before are doubled, so a chain of n nodes takes log2(n) rounds. Rings of such nodes reach no head: their
+    head is a node of the ring, and least the ring's least.
     """
     into = edges.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("head"))
     out = edges.groupBy(F.col("source").alias("head")).agg(F.count(F.lit(1)).alias("m"))
     inner = into.where("n = 1").join(out.where("m = 1"), "head").where("node != head")
     inner = inner.join(heads.select("node"), "node", "left_anti")
-    links = stored(inner.select("node", "head", F.lit(1).cast("long").alias("steps")), "chains")
+    links = stored(inner.select("node", "head", F.lit(1).cast("long").alias("steps"), F.col("node").alias("least")), "chains")
     n = links.count()
     for _ in range(n.bit_length() + 1 if n else 0):
-        via = links.select(F.col("node").alias("head"), F.col("head").alias("__next"), F.col("steps").alias("__more"))
+        via = links.select(
+            F.col("node").alias("head"), F.col("head").alias("__next"), F.col("steps").alias("__more"), F.col("least").alias("__least")
+        )
         new = links.join(via, "head", "left").select(
             "node",
             F.coalesce("__next", "head").alias("head"),
             (F.col("steps") + F.coalesce("__more", F.lit(0))).alias("steps"),
+            F.least("least", "__least").alias("least"),
             F.col("__next").isNotNull().alias("__moved"),
         )
         new = stored(new, "chains")
-        links = new.select("node", "head", "steps")
+        links = new.drop("__moved")
         if not new.where("__moved").head(1):
             break
-    return links.join(links.select(F.col("node").alias("head")), "head", "left_anti")
+    return links
+
+
+def _chains(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, head, steps) of the nodes inside chains; those on rings of such nodes are left out."""
+    links = _walked(edges, heads)
+    return links.join(links.select(F.col("node").alias("head")), "head", "left_anti").select("node", "head", "steps")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
@@ -82,10 +92,29 @@ def _spread(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def cycle_groups(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, group): the strongly connected groups of two nodes and more, or of one that refers to itself; group is its least node.
 
-    Each round takes off nodes without edges in or out, sends least labels forwards, and takes for a group the nodes of a label
-    that its own node can be reached from; edges between different labels go, as they are on no cycle.
+    A node inside a chain is on a cycle where the chain's head is, so chains and plain rings are walked by doubled pointers, and
+    the rounds see the heads only. Each round takes off nodes without edges in or out, sends least labels forwards, and takes for
+    a group the nodes of a label that its own node can be reached from; edges between different labels go, as they are on no cycle.
     """
-    left = stored(edges.select("source", "target").distinct(), "cycles")
+    edges = stored(edges.select("source", "target").distinct(), "cycles")
+    links = _walked(edges, edges.select(F.col("source").alias("node")).limit(0))
+    inner = links.select(F.col("node").alias("head"))
+    rings = links.join(inner, "head", "left_semi").select("node", F.col("least").alias("group"))
+    chains = links.join(inner, "head", "left_anti").select("node", "head")
+    short = edges.join(links.select(F.col("node").alias("target")), "target", "left_anti")
+    short = short.join(chains.withColumnRenamed("node", "source"), "source", "left")
+    short = stored(short.select(F.coalesce("head", "source").alias("source"), "target").distinct(), "cycles")
+    heads = _groups_of_heads(short, most)
+    if heads is None:
+        return rings
+    rows = heads.unionByName(chains.join(heads.withColumnRenamed("node", "head"), "head").select("node", "group"))
+    least = rows.groupBy("group").agg(F.min("node").alias("__least"))
+    return rows.join(least, "group").select("node", F.col("__least").alias("group")).unionByName(rings)
+
+
+def _groups_of_heads(edges: DataFrame, most: int) -> DataFrame | None:
+    """cycle_groups of a graph without chains; None where it has no cycle."""
+    left = edges
     found = None
     for _ in range(most):
         size = left.count()
@@ -114,7 +143,7 @@ def cycle_groups(edges: DataFrame, most: int = 10_000) -> DataFrame:
     else:
         raise ValueError(f"not settled after {most} rounds")
     if found is None:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("group")).limit(0)
+        return None
     # a label's own node is a group by itself unless it lies on a cycle
     several = found.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     alone = edges.where("source = target").select(F.col("source").alias("node")).distinct().withColumn("__self", F.lit(True))

@@ -179,6 +179,17 @@ def test_cycle_groups_leave_out_what_lies_between(spark):
     assert graph.cycle_groups(edges.limit(0)).count() == 0
 
 
+def test_long_rings_are_groups(spark):
+    chain = [(i, i + 1) for i in range(900, 1200)]
+    ring = [(1200 + i, 1200 + (i + 1) % 400) for i in range(400)]
+    out = [(1300, 0), *((i, i + 1) for i in range(200))]
+    alone = [(2000 + i * 7 % 300, 2000 + (i + 1) * 7 % 300) for i in range(300)]
+    edges = spark.createDataFrame(chain + ring + out + alone, "source int, target int")
+    want = {(1200 + i, 1200) for i in range(400)} | {(2000 + i, 2000) for i in range(300)}
+    rows = [tuple(r) for r in graph.cycle_groups(edges, most=20).collect()]
+    assert sorted(rows) == sorted(want)
+
+
 def test_long_chains_close(spark):
     """A chain far longer than the rounds it takes, a ring, a shorter way into the chain, and seeds inside it."""
     chain = [(i, i + 1) for i in range(3000)] + [(5000, 5001), (5001, 5000), (0, 9000), (9000, 2990)]
