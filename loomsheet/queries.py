@@ -243,8 +243,8 @@ def lookup_index_match(spark, folder):
 
 @_query("with p as (select o_orderkey as point, o_custkey as r, (o_totalprice/10000)::bigint as c from orders), q as (select s_suppkey as rect, s_suppkey*10 as t, s_suppkey*10+60 as b, s_nationkey as l, s_nationkey+5 as x from supplier) select point, rect from p join q on r between t and b and c between l and x")
 def lookup_range_join(spark, folder):
-    """Which rectangles hold a changed cell: the join that finds the formulas over a range."""
-    points = sheet(spark, folder, "orders").select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("row"), F.round(F.col("o_totalprice") / 10000).cast("long").alias("col"))
+    """Which rectangles hold a changed cell: the join that finds the formulas over a range. Columns halfway go to the even one."""
+    points = sheet(spark, folder, "orders").select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("row"), F.rint(F.col("o_totalprice") / 10000).cast("long").alias("col"))
     key = F.col("s_suppkey")
     rects = sheet(spark, folder, "supplier").select(key.alias("rect"), (key * 10).alias("top"), (key * 10 + 60).alias("bottom"), F.col("s_nationkey").alias("left"), (F.col("s_nationkey") + 5).alias("right"))
     return lookups.rects_hit(points, rects, 64)
