@@ -43,13 +43,26 @@ def indirect(df: DataFrame, text: str, own_sheet: Column, sheets: DataFrame, cel
     return found.select(*df.columns, F.when(err.isNull(), F.col("v")).alias("v"), err.alias("e"))
 
 
-def offset_area(top: Column, left: Column, rows: Column, cols: Column, height: Column | int = 1, width: Column | int = 1) -> tuple[Column, ...]:
-    """Top, left, bottom, right and error of OFFSET(cell, rows, cols, height, width); a negative extent reaches backwards."""
+def offset_area(
+    top: Column,
+    left: Column,
+    rows: Column,
+    cols: Column,
+    height: Column | int = 1,
+    width: Column | int = 1,
+    limits: tuple[int, int] | None = (MAX_ROWS, MAX_COLS),
+) -> tuple[Column, ...]:
+    """Top, left, bottom, right and error of OFFSET(cell, rows, cols, height, width); a negative extent reaches backwards.
+
+    limits: the last row and column, beyond which an area is #REF!; None for a table, which may have more rows than a sheet.
+    """
     height, width = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
     t, l = top + F.floor(rows), left + F.floor(cols)
     t0, l0 = F.when(height < 0, t + height + 1).otherwise(t), F.when(width < 0, l + width + 1).otherwise(l)
     b, r = t0 + F.abs(height) - 1, l0 + F.abs(width) - 1
-    bad = (height == 0) | (width == 0) | (t0 < 1) | (l0 < 1) | (b > MAX_ROWS) | (r > MAX_COLS)
+    bad = (height == 0) | (width == 0) | (t0 < 1) | (l0 < 1)
+    if limits is not None:
+        bad |= (b > limits[0]) | (r > limits[1])
     return (*(F.when(~bad, x) for x in (t0, l0, b, r)), F.when(bad, F.lit("#REF!")))
 
 

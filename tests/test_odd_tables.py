@@ -1,8 +1,10 @@
 """Sheet queries against their SQL in DuckDB on tables with values that the given ones lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomsheet import model_queries, queries  # noqa: F401  registers its queries
+from loomsheet.operators import references
 
 
 def both(spark, folder, name, **tables):
@@ -23,3 +25,17 @@ def test_columns_halfway_go_to_the_even_one(spark, tmp_path):
     supplier = "select i as s_suppkey, (i % 25)::int as s_nationkey from range(25) r(i)"
     got, want = both(spark, tmp_path, "lookup_range_join", orders=orders, supplier=supplier)
     assert got and got == want
+
+
+def test_areas_lie_beyond_the_rows_of_a_sheet_and_halves_round_alike(spark, tmp_path):
+    supplier = "select i + 1048560 as s_suppkey, (i % 25)::int as s_nationkey, i * 0.3::double + 0.005::double as s_acctbal from range(90) r(i)"
+    part = "select i as p_partkey, i::int as p_size, 9.5::double as p_retailprice from range(3) r(i)"
+    got, want = both(spark, tmp_path, "ref_offset_area", supplier=supplier, part=part)
+    assert len(got) == 90 and got == want
+
+
+def test_areas_of_a_sheet_keep_its_limits(spark):
+    one = lambda x: spark.range(1).select(*(c.alias(str(i)) for i, c in enumerate(x))).first()
+    at = lambda top, **limits: one(references.offset_area(F.lit(top), F.lit(1), F.lit(0), F.lit(0), **limits))
+    assert at(1_048_576)[4] is None and at(1_048_577)[4] == "#REF!"
+    assert at(1_048_577, limits=None)[0] == 1_048_577
