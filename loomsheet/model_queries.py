@@ -90,12 +90,14 @@ def ref_indirect_a1(spark, folder):
 
 @_query("with a as (select s_suppkey as rect, s_suppkey+1 + (s_nationkey%3-2) as t, 1 + s_suppkey%2 as l, 1+s_suppkey%4 as h, 1+s_nationkey%2 as w from supplier), cells as (select s_suppkey+1 as row, unnest([1,2,3]) as col, unnest([s_suppkey::double, s_nationkey::double, s_acctbal]) as v from supplier) select rect, round(sum(v),2) as v, case when t<1 then '#REF!' end as e from a left join cells on t>=1 and row between t and t+h-1 and col between l and l+w-1 group by rect, t")
 def ref_offset_area(spark, folder):
-    """=SUM(OFFSET(A1, rows, columns, height, width)) with all four from the data, in a table that may be longer than a sheet."""
+    """=SUM(OFFSET(A1, rows, columns, height, width)) with all four from the data, in a table that may be longer than a sheet.
+    Areas of one key that begin in one row are one."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    t, l, b, r, e = references.offset_area(k + 1, F.lit(1), n % 3 - 2, k % 2, 1 + k % 4, 1 + n % 2, limits=None)
-    areas = sheet(spark, folder, "supplier").select(k.alias("rect"), t.alias("top"), l.alias("left"), b.alias("bottom"), r.alias("right"), e.alias("e"))
+    move = n % 3 - 2
+    t, l, b, r, e = references.offset_area(k + 1, F.lit(1), move, k % 2, 1 + k % 4, 1 + n % 2, limits=None)
+    areas = sheet(spark, folder, "supplier").select(F.struct(k.alias("key"), move.alias("move")).alias("rect"), t.alias("top"), l.alias("left"), b.alias("bottom"), r.alias("right"), e.alias("e"))
     sums = references.area_sums(areas.where("e is null"), _cells(spark, folder).where("sheet = 'Suppliers'"), 64)
-    return areas.select("rect", "e").join(sums, "rect", "left").select("rect", (F.round(F.col("v") * 100) / 100).alias("v"), "e")
+    return areas.select("rect", "e").distinct().join(sums, "rect", "left").select(F.col("rect.key").alias("rect"), (F.round(F.col("v") * 100) / 100).alias("v"), "e")
 
 
 @_query("with x as (select s_suppkey as k, s_suppkey%5 as p, s_suppkey+1 as r1, 3 as c1, 1+s_nationkey as r2, 1 + s_suppkey%3 as c2 from supplier) select k, case when p<>4 then least(r1,r2) end as top, case when p<>4 then least(c1,c2) end as left, case when p<>4 then greatest(r1,r2) end as bottom, case when p<>4 then greatest(c1,c2) end as right, case when p<>4 then case p when 0 then null else 'Data' end end as sheet, case when p=4 then '#REF!' end as e from x")

@@ -34,6 +34,13 @@ def test_areas_lie_beyond_the_rows_of_a_sheet_and_halves_round_alike(spark, tmp_
     assert len(got) == 90 and got == want
 
 
+def test_areas_of_repeated_keys(spark, tmp_path):
+    supplier = "select (i % 20)::bigint as s_suppkey, (i * 7 % 25)::int as s_nationkey, i * 0.25::double as s_acctbal from range(60) r(i)"
+    part = "select i as p_partkey, i::int as p_size, 9.5::double as p_retailprice from range(3) r(i)"
+    got, want = both(spark, tmp_path, "ref_offset_area", supplier=supplier, part=part)
+    assert len(got) > 20 and got == want
+
+
 def test_areas_of_a_sheet_keep_its_limits(spark):
     one = lambda x: spark.range(1).select(*(c.alias(str(i)) for i, c in enumerate(x))).first()
     at = lambda top, **limits: one(references.offset_area(F.lit(top), F.lit(1), F.lit(0), F.lit(0), **limits))
